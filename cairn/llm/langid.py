@@ -1,0 +1,155 @@
+"""Language identification with hyperdimensional profiles.
+
+Every letter has a random bipolar vector of DIMENSIONS entries, drawn from its code point alone. A trigram binds
+the vectors of its letters, permuted by their place (rolled by two, one and no entries, multiplied entry by
+entry). A text's profile bundles (sums) its trigrams' vectors, a language's prototype bundles the unit profiles'
+trigram counts of all labelled texts, and a text takes the language whose prototype has the largest cosine with
+its profile."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cairn.llm.common import documents, slices, table
+
+DIMENSIONS, SEED, MAX_GRAMS = 512, 20_011, 40_000
+#: A text whose best cosine is lower is in none of the languages learned, for reject().
+MIN_SCORE = 0.05
+
+
+class Profiles:
+    """Trigram vectors, made when first seen and kept up to MAX_GRAMS; their values depend on the letters only."""
+
+    def __init__(self) -> None:
+        self.letters = np.zeros(0x110000, np.int64)
+        for c in range(0x110000):
+            if (x := chr(c)).isalpha():
+                self.letters[c] = ord(x.lower()[0])
+        self.vectors: dict[int, np.ndarray] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.rows: dict[int, int] = {}
+        self.matrix = np.zeros((1024, DIMENSIONS), np.float32)
+
+    def _letter(self, c: int) -> np.ndarray:
+        if c not in self.vectors:
+            if len(self.vectors) > MAX_GRAMS:
+                self.vectors.clear()
+            self.vectors[c] = np.random.default_rng([SEED, c]).integers(0, 2, DIMENSIONS).astype(np.float32) * 2 - 1
+        return self.vectors[c]
+
+    def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The text's trigrams over letters and single boundaries, and their counts; none without a letter."""
+        x = self.letters[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        x = np.concatenate(([0], x, [0]))
+        x = x[np.concatenate(([True], (x[1:] != 0) | (x[:-1] != 0)))]
+        if len(x) < 3:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.unique((x[:-2] << 42) | (x[1:-1] << 21) | x[2:], return_counts=True)
+
+    def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Sum of the trigrams' vectors, each times its count."""
+        out = np.zeros(DIMENSIONS)
+        for at in range(0, len(grams), 4096):
+            part = grams[at : at + 4096].tolist()
+            if len(self.rows) + len(part) > MAX_GRAMS:
+                self._clear()
+            for g in part:
+                if g not in self.rows:
+                    k = self.rows[g] = len(self.rows)
+                    if k == len(self.matrix):
+                        self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+                    a, b, c = g >> 42, (g >> 21) & 0x1FFFFF, g & 0x1FFFFF
+                    self.matrix[k] = np.roll(self._letter(a), 2) * np.roll(self._letter(b), 1) * self._letter(c)
+            rows = np.fromiter(map(self.rows.__getitem__, part), np.int64, len(part))
+            out += counts[at : at + 4096].astype(np.float32) @ self.matrix[rows]
+        return out
+
+
+_PROFILES: list[Profiles] = []
+
+
+def profiles() -> Profiles:
+    if not _PROFILES:
+        _PROFILES.append(Profiles())
+    return _PROFILES[0]
+
+
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each language of a task: the sum of its texts' profiles, each at equal weight."""
+    p, sums = profiles(), {}
+    for batch in slices(batches, "text"):
+        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            grams, counts = p.grams(text)
+            if len(grams):
+                x = p.bundle(grams, counts)
+                sums[lang] = sums.get(lang, 0) + np.rint(x * (1e6 / (np.linalg.norm(x) or 1))).astype(np.int64)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], ["lang", "bundle"])
+
+
+def prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
+    """labelled: text, lang. The languages, sorted, and a unit prototype of each. Only languages x DIMENSIONS
+    sums reach the driver."""
+    sums = labelled.select(F.coalesce("text", F.lit("")).alias("text"), "lang").where("lang is not null").mapInArrow(_bundles, "lang string, bundle array<long>")
+    rows = sums.select("lang", F.posexplode("bundle").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x")).collect()
+    langs = sorted({r.lang for r in rows})
+    out = np.zeros((len(langs), DIMENSIONS))
+    for r in rows:
+        out[langs.index(r.lang), r.k] = r.x
+    return langs, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def identify(docs: DataFrame, learned: tuple[list[str], np.ndarray]) -> DataFrame:
+    """docs with lang_pred and score (the best cosine, 0 to 1); `und` and 0 for a text without a letter. Equal
+    cosines: the language that sorts first."""
+    langs, vectors = learned
+    schema = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = profiles()
+        for batch in slices(batches, "text"):
+            best, score = [], []
+            for text in batch.column("text").to_pylist():
+                grams, counts = p.grams(text or "")
+                x = p.bundle(grams, counts) if len(grams) and langs else None
+                if x is None:
+                    best.append("und")
+                    score.append(0.0)
+                    continue
+                cosines = vectors @ (x / (np.linalg.norm(x) or 1))
+                k = int(np.argmax(cosines))
+                best.append(langs[k])
+                score.append(min(1.0, max(0.0, float(cosines[k]))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+
+    return docs.mapInArrow(predict, schema)
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Whether a document is kept from learning; a null doc_id always is."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Prototypes from the documents that are not held out."""
+    return prototypes(docs.where(~held_out()))
+
+
+def op3_language_id(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = learn(docs.select("doc_id", "text", "lang"))
+    return identify(documents(docs), learned).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def reject(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """docs without those in none of the languages learned from their lang column: no letter, or a best cosine
+    under min_score. Where nothing is labelled nothing can be learned and every text goes."""
+    found = identify(docs, learn(docs.select("doc_id", "text", "lang")))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)

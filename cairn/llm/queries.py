@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from cairn.llm.decontam import op8_decontamination
+from cairn.llm.langid import op3_language_id
+from cairn.llm.packing import op9_packing
 from cairn.llm.simhash import op5_simhash
 
-QUERIES = {"op5_simhash": op5_simhash}
+QUERIES = {f.__name__: f for f in (op3_language_id, op5_simhash, op8_decontamination, op9_packing)}
 SQL: dict[str, str] = {}
