@@ -21,7 +21,7 @@ from cairn.llm.common import documents, partitions, slices, table
 WINDOW, PIECES, SMALLEST = 7, 64, 3
 _SYMBOLS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _BYTE = np.random.default_rng(7_001).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_ROLL, _BASE = np.uint64(0x5851F42D4C957F2D), 0x2545F4914F6CDD1D
+_ROLL, _BASE = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
@@ -66,10 +66,9 @@ def fingerprints(texts: list[str]) -> list[str]:
     np.add.at(inside, ends, -1)
     inside = np.cumsum(inside)[:-1] > 0
     values[~inside] = 0
-    roll, power = values.copy(), np.uint64(1)
+    roll = values.copy()
     for k in range(1, WINDOW):
-        power = power * _ROLL
-        roll[k:] += values[:-k] * power
+        roll[k:] += values[:-k] * np.uint64(pow(_ROLL, k, 1 << 64))
     roll = _mix(roll) >> np.uint64(32)
     blocks = [block_size(n) for n in sizes.tolist()]
     per_byte = np.repeat(np.array(blocks, np.uint64), sizes + gap)
@@ -96,12 +95,12 @@ def common_subsequence(a: str, b: str) -> int:
 
 
 def _likeness(a: str, b: str) -> float:
-    """1 - insertions and deletions / both lengths; 0 without a common run of WINDOW symbols."""
+    """1 - insertions and deletions / both lengths; 0 without a common run of WINDOW symbols, or of all (3 at least)
+    of a shorter string."""
     a, b = (re.sub(r"(.)\1{3,}", r"\1\1\1", x) for x in (a, b))  # long runs say little
-    if a == b:
-        return 1.0 if len(a) >= WINDOW else 0.0
-    runs = {a[k : k + WINDOW] for k in range(len(a) - WINDOW + 1)}
-    if not any(b[k : k + WINDOW] in runs for k in range(len(b) - WINDOW + 1)):
+    n = min(WINDOW, max(3, min(len(a), len(b))))
+    runs = {a[k : k + n] for k in range(len(a) - n + 1)}
+    if not any(b[k : k + n] in runs for k in range(len(b) - n + 1)):
         return 0.0
     return 2 * common_subsequence(a, b) / (len(a) + len(b))
 

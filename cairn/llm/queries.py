@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from cairn.llm.ctph import op2_ctph
 from cairn.llm.decontam import op8_decontamination
+from cairn.llm.hilbert import op6_hilbert_shards
 from cairn.llm.langid import op3_language_id
+from cairn.llm.lines import op1_line_dedup
 from cairn.llm.packing import op9_packing
+from cairn.llm.repeats import op10_repeats
+from cairn.llm.secrets import op4_secrets
 from cairn.llm.simhash import op5_simhash
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op5_simhash, op8_decontamination, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ctph, op3_language_id, op4_secrets, op5_simhash, op6_hilbert_shards, op8_decontamination, op9_packing, op10_repeats)}
 SQL: dict[str, str] = {}
