@@ -66,3 +66,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 <<
 def documents(df: DataFrame, *extra: str) -> DataFrame:
     """doc_id, text and further columns; a null text counts as empty."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
+
+
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """docs with columns of these names (which an operator adds itself) renamed, and the columns to select at the end to
+    have docs' own back."""
+    own = {n.lower() for n in names}
+    clash = {c: f"__kept_{k}" for k, c in enumerate(docs.columns) if c.lower() in own}
+    return docs.withColumnsRenamed(clash), [F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns]

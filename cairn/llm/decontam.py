@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import slices, staged, table
+from cairn.llm.common import set_aside, slices, staged, table
 
 WINDOW, MAX_COVERAGE, SHARD_BYTES = 10, 0.5, 1 << 20
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -188,6 +188,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """docs without the hit spans; documents of whose words more than max_coverage are hit go altogether.
     Texts without a hit stay as they are."""
+    docs, kept = set_aside(docs, "n_words", "hits", "items")
     found = contamination(docs, benchmark, window)
     covered = F.aggregate("hits", F.lit(0), lambda n, x: n + x["end"] - x["start"])
     found = found.where(covered <= max_coverage * F.col("n_words"))
@@ -204,7 +205,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.size("hits") > 0, length).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*kept)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

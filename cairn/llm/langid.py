@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import documents, slices, table
+from cairn.llm.common import documents, set_aside, slices, table
 
 DIMENSIONS, SEED, MAX_GRAMS = 512, 20_011, 40_000
 #: A text whose best cosine is lower is in none of the languages learned, for reject().
@@ -151,5 +151,6 @@ def op3_language_id(spark, sf_dir: str) -> DataFrame:
 def reject(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """docs without those in none of the languages learned from their lang column: no letter, or a best cosine
     under min_score. Where nothing is labelled nothing can be learned and every text goes."""
+    docs, kept = set_aside(docs, "lang_pred", "score")
     found = identify(docs, learn(docs.select("doc_id", "text", "lang")))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*kept)

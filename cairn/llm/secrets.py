@@ -25,7 +25,7 @@ KINDS = (
 _PRESENT = {"assign": KINDS[0][1], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-SAMPLE, MADE, MIN_RATIO = 2000, 2048, 1.0
+SAMPLE, MADE, PRIOR, MIN_RATIO = 2000, 2048, 20, 1.0
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -47,14 +47,18 @@ def _spans(rank: int, kind: str, pattern: str, group: int, least: int) -> Column
 
 
 def transitions(pairs: DataFrame) -> list[float]:
-    """pairs: label (true: random), a, b. Log-likelihood ratios of the steps a to b, add-one smoothed, in row order of the
-    alphabet; only counts by step reach the driver."""
+    """pairs: label (true: random), a, b. Log-likelihood ratios of the steps a to b, in row order of the alphabet, each row
+    smoothed with PRIOR counts of its label's characters overall; only counts by step reach the driver."""
     size = len(ALPHABET)
-    counts = {True: [[1] * size for _ in range(size)], False: [[1] * size for _ in range(size)]}
+    counts = {label: [[0] * size for _ in range(size)] for label in (True, False)}
     for r in pairs.groupBy("label", "a", "b").count().collect():
         counts[r.label][ALPHABET.index(r.a)][ALPHABET.index(r.b)] += r["count"]
-    sums = {k: [sum(x) for x in v] for k, v in counts.items()}
-    return [math.log(counts[True][a][b] / sums[True][a]) - math.log(counts[False][a][b] / sums[False][a]) for a in range(size) for b in range(size)]
+    logs = {}
+    for label, rows in counts.items():
+        overall = [1 + sum(row[b] for row in rows) for b in range(size)]
+        share = [x / sum(overall) for x in overall]
+        logs[label] = [math.log((row[b] + PRIOR * share[b]) / (sum(row) + PRIOR)) for row in rows for b in range(size)]
+    return [x - y for x, y in zip(logs[True], logs[False], strict=True)]
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -68,7 +72,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     for _, p, _, _ in KINDS[:2]:
         text = F.regexp_replace(text, p, " ")
-    words = some.select(F.regexp_extract_all(F.regexp_replace(text, "[0-9a-f]{24,}", " "), F.lit("[A-Za-z0-9+/_=-]{2,}"), F.lit(0)).alias("w"))
+    words = some.select(F.regexp_extract_all(F.regexp_replace(text, "[0-9a-f]{24,}", " "), F.lit("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{2,19}+(?![A-Za-z0-9+/_=-])"), F.lit(0)).alias("w"))  # candidates have no label
     plain = words.select(F.explode("w").alias("token"))
     joined = words.select(F.explode(F.expr("transform(w, (x, i) -> concat(x, if(i % 2 = 0, '_', ''), initcap(coalesce(try_element_at(w, i + 2), ''))))")).alias("token"))
     return made.union(values).withColumn("label", F.lit(True)).union(plain.union(joined).withColumn("label", F.lit(False)))
