@@ -215,7 +215,7 @@ def constants(formulas: Column) -> Column:
     """Distinct constants of an array of formulas, sorted: arguments of innermost predicates longer than one character
     that are neither bound variables nor reserved words."""
     inner = F.flatten(F.transform(formulas, lambda f: F.regexp_extract_all(f, F.lit(r"\b[A-Za-z_]\w*\s*\(([^()]*)\)"), F.lit(1))))
-    args = F.flatten(F.transform(inner, lambda a: F.transform(F.split(a, ","), F.trim)))
+    args = F.flatten(F.transform(inner, lambda a: F.transform(F.split(a, ","), lambda x: F.trim(x))))
     bound = F.flatten(F.transform(formulas, lambda f: F.regexp_extract_all(f, F.lit(rf"\b(?:ForAll|Exists)\s*\(\s*({_NAME})"), F.lit(1))))
     named = F.filter(F.array_except(args, bound), lambda a: (F.length(a) > 1) & F.regexp_like(a, F.lit(rf"^{_NAME}$")))
     return F.array_sort(F.array_except(named, F.array(*map(F.lit, RESERVED))))

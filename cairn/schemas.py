@@ -1,32 +1,23 @@
-"""Record types of the data model as explicit Spark schemas."""
+"""Record types of the data model as explicit Spark schemas, in DDL."""
 
-from __future__ import annotations
-
-from pyspark.sql.types import StructType
-
-
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
-
-
-LOGIC_SAMPLE = _schema("`premises-NL` array<string>, `premises-FOL` array<string>, question string, answer string, example_id string, dataset_source string, split string, story_id string, explanation string, validation_error string, conclusion string, label string")
-PHYSICS_ROW = _schema("input string, output string, question string")
-ROUTER_ROW = _schema("input string, output string")
-ROUTER_PAYLOAD = _schema("domains array<string>, multi_state boolean")
-ANSWER_ITEM = _schema("pos int, raw string, unit string")
-ITEM = _schema("num double, txt string, unit string, raw string")
-PHYSICS_TASK = _schema("question string, correct struct<ans:string,unit:string>, metadata map<string,string>")
-PHYSICS_RESULT = _schema("question string, correct struct<ans:string,unit:string>, model_answer struct<ans:string,unit:string>, raw_response string, error string, tokens map<string,int>, elapsed_s double, domains array<string>")
-PHYSICS_EVAL = _schema("question string, correct struct<ans:string,unit:string>, model_answer struct<ans:string,unit:string>, raw_response string, error string, tokens map<string,int>, is_correct boolean, reason string")
-VERIFICATION = _schema("result string, proof string, unsat_core array<string>, model string, error string")
-PIPELINE_ANSWER = _schema("answer array<string>, confidence double, premises_fol array<string>, premises_nl array<string>, conclusion_fol string, verification struct<result:string,proof:string,unsat_core:array<string>,model:string,error:string>, reasoning string, cot array<string>")
-PREDICT_REQUEST = _schema("query_id string, type string, query string, premises array<string>, options array<string>")
-PREDICT_RESPONSE = _schema("query_id string, answer string, unit string, explanation string, premises_used array<int>, reasoning struct<type:string,steps:array<string>>")
-CHAT = _schema("messages array<struct<role:string,content:string>>")
-GLOSSARY = _schema("predicates array<string>, constants array<string>")
-FAILURE = _schema("question string, correct string, model_answer string, raw_response string, error string, reason string, input_tokens int, output_tokens int")
-FOL_FAILED_CASE = _schema("premises array<string>, expected array<string>, predicted array<string>, exact boolean, syntax boolean, question string, qa_correct boolean")
-PHYSICS_FAILED_CASE = _schema("input string, expected string, predicted string, json boolean, syntax boolean, executed boolean, correct boolean")
-ROUTER_FAILED_CASE = _schema("input string, expected string, predicted string, exact boolean, json boolean, domains boolean, multi_state boolean")
-NOTATION = _schema("canonical_latex string, meaning string, your_notation string")
-TEXT_DOCUMENT = _schema("name string, text string")
+LOGIC_SAMPLE = "`premises-NL` array<string>, `premises-FOL` array<string>, question string, answer string, example_id string, dataset_source string, split string, story_id string, explanation string, validation_error string, conclusion string, label string"
+PHYSICS_ROW = "input string, output string, question string"
+ROUTER_ROW = "input string, output string"
+ROUTER_PAYLOAD = "domains array<string>, multi_state boolean"
+ANSWER_ITEM = "pos int, raw string, unit string"
+ITEM = "num double, txt string, unit string, raw string"
+PHYSICS_TASK = "question string, correct struct<ans:string,unit:string>, metadata map<string,string>"
+PHYSICS_RESULT = "question string, correct struct<ans:string,unit:string>, model_answer struct<ans:string,unit:string>, raw_response string, error string, tokens map<string,int>, elapsed_s double, domains array<string>"
+PHYSICS_EVAL = "question string, correct struct<ans:string,unit:string>, model_answer struct<ans:string,unit:string>, raw_response string, error string, tokens map<string,int>, is_correct boolean, reason string"
+VERIFICATION = "result string, proof string, unsat_core array<string>, model string, error string"
+PIPELINE_ANSWER = "answer array<string>, confidence double, premises_fol array<string>, premises_nl array<string>, conclusion_fol string, verification struct<result:string,proof:string,unsat_core:array<string>,model:string,error:string>, reasoning string, cot array<string>"
+PREDICT_REQUEST = "query_id string, type string, query string, premises array<string>, options array<string>"
+PREDICT_RESPONSE = "query_id string, answer string, unit string, explanation string, premises_used array<int>, reasoning struct<type:string,steps:array<string>>"
+CHAT = "messages array<struct<role:string,content:string>>"
+GLOSSARY = "predicates array<string>, constants array<string>"
+FAILURE = "question string, correct string, model_answer string, raw_response string, error string, reason string, input_tokens int, output_tokens int"
+FOL_FAILED_CASE = "premises array<string>, expected array<string>, predicted array<string>, exact boolean, syntax boolean, question string, qa_correct boolean"
+PHYSICS_FAILED_CASE = "input string, expected string, predicted string, json boolean, syntax boolean, executed boolean, correct boolean"
+ROUTER_FAILED_CASE = "input string, expected string, predicted string, exact boolean, json boolean, domains boolean, multi_state boolean"
+NOTATION = "canonical_latex string, meaning string, your_notation string"
+TEXT_DOCUMENT = "name string, text string"

@@ -6,20 +6,19 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from cairn import schemas
 from cairn.operators.records import first_by, sample
 
-_ANY = StructType.fromDDL("question string, correct_answer string, correct string, answer string, ans string, correct_units string, unit string, domains array<string>, model_output string, model_answer string, metadata map<string,string>")
+_ANY = "question string, correct_answer string, correct string, answer string, ans string, correct_units string, unit string, domains array<string>, model_output string, model_answer string, metadata map<string,string>"
 
 
-def json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array of objects; fields that the schema lacks are left out."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; blank lines are skipped."""
     return spark.read.schema(schema).json(path)
 
@@ -69,7 +68,7 @@ def logic_samples(spark: SparkSession, path: str) -> DataFrame:
     return first_by(fit.withColumn("__key", F.array_join("`premises-NL`", "\n")), ["__key"], ["ord"]).drop("__key")
 
 
-def distillation_rows(spark: SparkSession, path: str, schema: StructType = schemas.PHYSICS_ROW) -> DataFrame:
+def distillation_rows(spark: SparkSession, path: str, schema: str = schemas.PHYSICS_ROW) -> DataFrame:
     """Rows with a non-empty input and output."""
     return json_array(spark, path, schema).where((F.length("input") > 0) & (F.length("output") > 0))
 

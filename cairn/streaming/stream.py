@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import StructType
 
 
-def json_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 16) -> DataFrame:
+def json_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 16) -> DataFrame:
     """New JSON-lines files of a folder as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
