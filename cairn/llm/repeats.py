@@ -11,6 +11,9 @@ of different phrases and a parse, the places of each:
 2. Different phrases with equal triggers may share windows at their ends (where a copy begins or stops). Only these are
    fetched: a suffix array of the dictionary, sorted to LENGTH bytes by prefix doubling, gives the classes of equal windows,
    and the parse gives each class its first place in corpus order.
+3. A trigger with more than HOT places (a line that a third of all documents have, each in other surroundings) is never
+   gathered in one task: its places are dealt by content, and the windows of its phrases are grouped by two further hashes of
+   their bytes, counted before they are shuffled like any aggregate.
 
 All matches are judged on the input and never cross documents. Hashes travel packed by shard; the texts are shuffled by
 document to fetch phrases and to cut what is repeated."""
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from cairn.llm.common import documents, partitions, slices, staged, table
 
 LENGTH, GRAM, BATCH_BYTES = 100, 32, 2 << 20
+#: Places from which a trigger is hot, the share of documents (one in SHARE) that its count is estimated from, and how many hot triggers are told apart at most, the hottest first.
+HOT, SHARE, MAX_HOT = 1 << 20, 64, 1 << 16
 _BYTE = np.random.default_rng(10_007).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _ROLL, _BASE = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -109,7 +114,22 @@ def _merged(docs: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.n
     return docs[at], first[at], np.maximum.reduceat(last, at)
 
 
-def _parse(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def _triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "data", BATCH_BYTES):
+        texts = batch.column("data").to_pylist()
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        found, n = np.unique(phrases(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes)[3], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["trigger", "n"])
+
+
+def hot_triggers(docs: DataFrame, least: int = HOT) -> np.ndarray:
+    """The triggers with about `least` places or more. What is missed or taken in excess changes the way, not the result."""
+    some = docs.where(F.pmod(F.xxhash64("doc"), F.lit(SHARE)) == 0).mapInArrow(_triggers, "trigger long, n long")
+    found = some.groupBy("trigger").agg(F.sum("n").alias("n")).where(F.col("n") * SHARE >= least).orderBy(F.desc("n"), "trigger").limit(MAX_HOT)
+    return np.sort(np.array([r.trigger for r in found.collect()], np.int64).view(np.uint64))
+
+
+def _parse(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """For each batch, one packed row a shard with the first places of its phrases (shard from 0), and one packed row
     with the places that are repeated within the batch (shard from `shards` on)."""
     serial = 0
@@ -135,7 +155,8 @@ def _parse(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Record
             out_blob.append(_pack(runs))
             serial += 1
         rows = rows[fresh]
-        shard = (rows["trigger"] % np.uint64(shards)).astype(np.int64)
+        key = np.where(np.isin(rows["trigger"], hot), _mix(rows["content"]), rows["trigger"])
+        shard = (key % np.uint64(shards)).astype(np.int64)
         by = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[by], np.arange(shards + 1)).tolist()
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -145,15 +166,18 @@ def _parse(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(out_shard, pa.int32()), pa.array(out_blob, pa.binary())], ["shard", "blob"])
 
 
-_FOUND = "doc long, first int, last int, open boolean, trigger long"
+#: state: REPEATED altogether, OPEN (to be compared with the phrases of its trigger), or OPEN under a hot trigger.
+REPEATED, OPEN, OPEN_HOT = 0, 1, 2
+_FOUND = "doc long, first int, last int, state int, trigger long"
 
 
-def _found(docs: np.ndarray, first: np.ndarray, last: np.ndarray, is_open: bool, trigger: np.ndarray | None = None) -> pa.RecordBatch:
+def _found(docs: np.ndarray, first: np.ndarray, last: np.ndarray, state: np.ndarray | int = REPEATED, trigger: np.ndarray | None = None) -> pa.RecordBatch:
     trigger = np.zeros(len(docs), np.int64) if trigger is None else trigger.view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(docs.astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.full(len(docs), is_open)), pa.array(trigger)], ["doc", "first", "last", "open", "trigger"])
+    state = np.broadcast_to(np.asarray(state, np.int32), len(docs))
+    return pa.RecordBatch.from_arrays([pa.array(docs.astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.array(state)), pa.array(trigger)], ["doc", "first", "last", "state", "trigger"])
 
 
-def _judge(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _judge(rows: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """All places of some triggers: those repeated altogether, and (open) first places of phrases that share a trigger
     with another phrase."""
     rows = rows[np.lexsort((rows["first"], rows["doc"], rows["content"], rows["trigger"]))]
@@ -162,30 +186,32 @@ def _judge(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     known = rows[~fresh]
     if len(known):
         known = known[np.lexsort((known["first"], known["doc"]))]
-        yield _found(*_merged(known["doc"], known["first"], known["last"]), False)
+        yield _found(*_merged(known["doc"], known["first"], known["last"]))
     rows = rows[fresh]
     same = rows["trigger"][1:] == rows["trigger"][:-1]
-    rows = rows[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+    is_hot = np.isin(rows["trigger"], hot)
+    kept = np.concatenate(([False], same)) | np.concatenate((same, [False])) | is_hot
+    rows, is_hot = rows[kept], is_hot[kept]
     if len(rows):
-        yield _found(rows["doc"], rows["first"], rows["last"], True, rows["trigger"].copy())
+        yield _found(rows["doc"], rows["first"], rows["last"], np.where(is_hot, OPEN_HOT, OPEN), rows["trigger"].copy())
 
 
-def _gather(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def _gather(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Packed rows sorted by shard, one shard in memory at a time."""
     held, now = [], -1
     for batch in batches:
         for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
             if shard >= shards:
                 runs = _unpack(blob)
-                yield _found(runs["doc"], runs["first"], runs["last"], False)
+                yield _found(runs["doc"], runs["first"], runs["last"])
                 continue
             if shard != now and held:
-                yield from _judge(np.concatenate(held))
+                yield from _judge(np.concatenate(held), hot)
                 held = []
             now = shard
             held.append(_unpack(blob))
     if held:
-        yield from _judge(np.concatenate(held))
+        yield from _judge(np.concatenate(held), hot)
 
 
 def window_classes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -215,7 +241,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, first = np.array([r[1] for r in rows], np.int64)[owner], np.array([r[2] for r in rows], np.int64)[owner] + at
         docs, first = docs[known], first[known]
         order = np.lexsort((first, docs))
-        return _found(*_merged(docs[order], first[order], first[order]), False)
+        return _found(*_merged(docs[order], first[order], first[order]))
 
     held, size, now = [], 0, None
     for batch in batches:
@@ -230,18 +256,52 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield judge(held)
 
 
-def repeated_runs(docs: DataFrame, size_hint: int) -> DataFrame:
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the phrases as two hashes of its bytes and its place; known: an earlier one is in the same batch."""
+    for batch in slices(batches, "phrase", BATCH_BYTES // 8):
+        order = np.lexsort((batch.column("first").to_numpy(), batch.column("doc").to_numpy()))
+        texts = [batch.column("phrase")[k].as_py() for k in order.tolist()]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        counts = sizes - LENGTH + 1
+        owner = np.repeat(np.arange(len(texts)), counts)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        start, data = (np.cumsum(sizes) - sizes)[owner] + at, _BYTE[np.frombuffer(b"".join(texts), np.uint8)]
+        hashes = []
+        for base in (_BASE, _ROLL):
+            up, down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(len(data), x, np.uint64))) for x in (base, pow(base, -1, 1 << 64)))
+            sums = np.concatenate(([np.uint64(0)], np.cumsum(data * up[:-1], dtype=np.uint64)))
+            hashes.append(_mix((sums[start + LENGTH] - sums[start]) * down[start]).view(np.int64))
+        known = np.ones(len(owner), bool)
+        known[np.unique(hashes[0] ^ hashes[1] * np.int64(3), return_index=True)[1]] = False
+        docs, first = batch.column("doc").to_numpy()[order][owner], batch.column("first").to_numpy()[order][owner] + at
+        yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), pa.array(docs), pa.array(first.astype(np.int32)), pa.array(known)], ["h1", "h2", "doc", "first", "known"])
+
+
+def _compare_hot(phrases_: DataFrame) -> DataFrame:
+    """doc, first, last of the repeated windows among phrases of hot triggers."""
+    windows = staged(phrases_.mapInArrow(_windows, "h1 long, h2 long, doc long, first int, known boolean"), "windows")
+    place = F.struct("doc", "first")
+    fresh = windows.where("not known")
+    least = fresh.groupBy("h1", "h2").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = fresh.join(least, ["h1", "h2"]).where(place != F.col("least"))
+    return windows.where("known").select("doc", "first").union(later.select("doc", "first")).select("doc", "first", F.col("first").alias("last"))
+
+
+def repeated_runs(docs: DataFrame, size_hint: int, hot_places: int = HOT) -> DataFrame:
     """docs: doc (long, unique, in corpus order), data (binary). doc, first, last: runs of repeated windows."""
     spark = docs.sparkSession
     n = partitions(spark)
-    shards = max(n, size_hint >> 23)
-    parsed = docs.mapInArrow(lambda b: _parse(b, shards), "shard int, blob binary")
-    found = staged(parsed.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(lambda b: _gather(b, shards), _FOUND), "found")
-    asked = found.where("open").groupBy("doc").agg(F.collect_list(F.struct("trigger", "first", "last")).alias("asked"))
+    shards, hot = max(n, size_hint >> 23), hot_triggers(docs, hot_places)
+    parsed = docs.mapInArrow(lambda b: _parse(b, shards, hot), "shard int, blob binary")
+    found = staged(parsed.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(lambda b: _gather(b, shards, hot), _FOUND), "found")
+    asked = found.where(F.col("state") > REPEATED).groupBy("doc").agg(F.collect_list(F.struct("trigger", "first", "last", "state")).alias("asked"))
     some = docs.join(asked, "doc").select("doc", "data", F.explode("asked").alias("a"))
-    some = some.select("a.trigger", "doc", "a.first", "a.last", F.expr(f"substring(data, a.first + 1, a.last - a.first + {LENGTH})").alias("phrase"))
-    shared = some.repartition(n, "trigger").sortWithinPartitions("trigger").mapInArrow(_compare, _FOUND)
-    return found.where("not open").union(shared).select("doc", "first", "last")
+    some = some.select("a.trigger", "a.state", "doc", "a.first", "a.last", F.expr(f"substring(data, a.first + 1, a.last - a.first + {LENGTH})").alias("phrase"))
+    if len(hot):
+        some = staged(some, "phrases")
+    shared = some.where(F.col("state") == OPEN).repartition(n, "trigger").sortWithinPartitions("trigger").mapInArrow(_compare, _FOUND)
+    out = found.where(F.col("state") == REPEATED).select("doc", "first", "last").union(shared.select("doc", "first", "last"))
+    return out.union(_compare_hot(some.where(F.col("state") == OPEN_HOT))) if len(hot) else out
 
 
 def _cut(data: bytes, runs: list[dict]) -> tuple[bytes, int, int]:
@@ -259,12 +319,12 @@ def _cut(data: bytes, runs: list[dict]) -> tuple[bytes, int, int]:
     return b"".join([*out, data[last:]]), sum(b - a for a, b in spans), len(spans)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, hot_places: int = HOT) -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_removed, n_spans. A null text is empty. Rows are judged in order of doc_id (null
     first), equal ids by text; rows that repeat both stand next to each other, and the later are repeated."""
     source = documents(docs)
     numbered = _numbered(source)
-    runs = repeated_runs(numbered.select("doc", "data"), numbered.agg(F.sum(F.octet_length("data"))).first()[0] or 0)
+    runs = repeated_runs(numbered.select("doc", "data"), numbered.agg(F.sum(F.octet_length("data"))).first()[0] or 0, hot_places)
     runs = runs.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -249,6 +249,16 @@ def test_repeats(spark, tables):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest()), i
 
 
+def test_hot_triggers_give_the_same(spark, monkeypatch):
+    rng = random.Random(7)
+    line = prose(rng, 30)
+    docs = spark.createDataFrame([(k, prose(rng, rng.randint(0, 40)) + " " + line + " " + prose(rng, rng.randint(0, 40))) for k in range(120)], "doc_id long, text string").repartition(4)
+    plain = sorted(map(tuple, repeats.without_repeats(docs).collect()))
+    monkeypatch.setattr(repeats, "SHARE", 1)
+    assert len(repeats.hot_triggers(repeats._numbered(repeats.documents(docs)), 20))
+    assert sorted(map(tuple, repeats.without_repeats(docs, hot_places=20).collect())) == plain
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(2)
     data = rng.integers(0, 2, 2000).astype(np.uint8)
