@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cairn.llm.ctph import op2_ctph
+from cairn.llm.decontam import SQL as OP8_SQL
 from cairn.llm.decontam import op8_decontamination
 from cairn.llm.hilbert import op6_hilbert_shards
 from cairn.llm.langid import op3_language_id
@@ -14,4 +15,4 @@ from cairn.llm.secrets import op4_secrets
 from cairn.llm.simhash import op5_simhash
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ctph, op3_language_id, op4_secrets, op5_simhash, op6_hilbert_shards, op7_quality, op8_decontamination, op9_packing, op10_repeats)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}
