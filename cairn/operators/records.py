@@ -229,3 +229,13 @@ def policy_block(tasks: DataFrame, policies: DataFrame, examples: DataFrame, war
     warned = tasks.select("id", F.array(F.col(warnings) if warnings else F.lit(None).cast("string")).alias("w"))
     texts = F.filter(F.concat(F.coalesce(sections, F.array().cast("array<string>")), F.col("w")), lambda x: x.isNotNull() & (x != ""))
     return warned.join(rows, "id", "left").select("id", F.array_join(texts, "\n\n").alias("prompt"))
+
+
+def augmented(df: DataFrame) -> DataFrame:
+    """Rows that an augmentation made, by their source."""
+    return df.where(F.contains(F.coalesce("dataset_source", F.lit("")), F.lit("augmented")))
+
+
+def in_questions(df: DataFrame, questions: DataFrame, key: str = "question") -> DataFrame:
+    """Rows whose question is in a set of questions."""
+    return df.join(questions.select(key).distinct(), key, "left_semi")

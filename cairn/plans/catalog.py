@@ -436,3 +436,75 @@ def premise_text(t):
     rows = t("part").select("p_partkey", texts.alias("s"))
     cases = rows.select("s").distinct().withColumns({"premise": formula.normalize_premise("s"), "formula": formula.normalize_formula(F.lit("∀x P(X) → Q(x) ∧ ¬R(x)"))})
     return rows.join(cases, "s").select("p_partkey", "premise", "formula")
+
+
+@query("select o_orderkey, 'Predicates: P' || (o_orderkey % 5) || ', Q, R' || chr(10) || 'Constants: c' || (o_orderkey % 9) || ', dd' as glossary from orders")
+def glossary(t):
+    f = F.array(_rule("o_orderkey"), F.concat(F.lit("Q(c"), (F.col("o_orderkey") % 9).cast("string"), F.lit(", dd)")))
+    return t("orders").select("o_orderkey", formula.glossary_text(f).alias("glossary"))
+
+
+@query("select doc_id, source from documents where text in (select text from documents where doc_id % 2 = 0)")
+def semi_join(t):
+    docs = t("documents")
+    return records.in_questions(docs, docs.where("doc_id % 2 = 0"), "text").select("doc_id", "source")
+
+
+@query("""select item_id, len(list_intersect(w, v)) / greatest(len(w), len(v)) as ratio, len(w) - len(list_intersect(w, v)) as missing from (
+  select item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\n.,]+'), lambda x: x <> '')) as w, list_distinct(list_filter(regexp_split_to_array(lower(text[1:200]), '[ \\n.,]+'), lambda x: x <> '')) as v from benchmark)""")
+def word_sets(t):
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[ \n.,]+"), lambda w: w != ""))
+    rows = t("benchmark").select("item_id", words(F.col("text")).alias("w"), words(F.substring("text", 1, 200)).alias("v"))
+    return rows.select("item_id", language.overlap(F.col("w"), F.col("v")).alias("ratio"), F.size(F.array_except("w", "v")).alias("missing"))
+
+
+@query("select o_orderkey, case when o_orderkey % 3 = 0 then 'P(a)|Q(b)' when o_orderkey % 3 = 1 then 'P(a)' else '' end as formulas from orders")
+def reply_formulas(t):
+    """Formulas of model replies: a JSON list, numbered lines, or none."""
+    texts = F.element_at(F.array(F.lit('["P(a)", "Q(b)"]'), F.lit("1. P(a)\nNotes: x\nQ(b)"), F.lit("Explanation: none")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    orders = t("orders").select("o_orderkey", texts.alias("r"))
+    return orders.join(orders.select("r").distinct().withColumn("f", formula.extract_formulas("r")), "r").select("o_orderkey", F.array_join("f", "|").alias("formulas"))
+
+
+@query("""select o_orderkey, case when o_orderkey % 2 = 0 then '{"domains": ["A", "B"]}' else '{"a": "b"}' end as json from orders""")
+def json_repair(t):
+    texts = F.when(F.col("o_orderkey") % 2 == 0, 'So {"domains": ["A", "B"').otherwise('{"a": "b')
+    orders = t("orders").select("o_orderkey", texts.alias("r"))
+    return orders.join(orders.select("r").distinct().withColumn("json", jsons.repaired("r")), "r").select("o_orderkey", "json")
+
+
+@query("select p_partkey, p_size % 3 <> 2 as matched from part")
+def text_match(t):
+    k = (F.col("p_size") % 3 + 1).cast("int")
+    model = F.element_at(F.array(F.lit("x = It increases!"), F.lit("5.04 V"), F.lit("")), k)
+    truth = F.element_at(F.array(F.lit("increases"), F.lit("5"), F.lit("increases")), k)
+    return t("part").select("p_partkey", physics.text_match(model, truth).alias("matched"))
+
+
+@query("select c_custkey as id, case c_nationkey % 3 when 0 then 'policy AFRICA' when 1 then 'policy ASIA' || chr(10) || chr(10) || 'example ASIA' else '' end as prompt from customer")
+def policy_blocks(t):
+    region = t("region").where("r_name in ('AFRICA', 'ASIA')")
+    policies = region.select(F.col("r_name").alias("name"), F.concat(F.lit("policy "), F.col("r_name")).alias("text"))
+    examples = region.where("r_name = 'ASIA'").select(F.col("r_name").alias("name"), F.lit("example ASIA").alias("text"))
+    domains = F.element_at(F.array(F.array(F.lit("AFRICA")), F.array(F.lit("ASIA"), F.lit("NONE")), F.array(F.lit("NONE"))), (F.col("c_nationkey") % 3 + 1).cast("int"))
+    return records.policy_block(t("customer").select(F.col("c_custkey").alias("id"), domains.alias("domains")), policies, examples)
+
+
+@query("select event_id, case when event_id % 3 = 0 then 'mismatch' else null end as reason, case when event_id % 3 = 0 then 5 else null end as input_tokens from events where event_id % 3 <> 1")
+def failure_rows(t):
+    """Evaluations that aren't true: false and unknown ones."""
+    k = F.col("event_id") % 3
+    empty = F.lit(None).cast("string")
+    answer = F.struct(F.lit("1").alias("ans"), F.lit("V").alias("unit"))
+    rows = t("events").select(F.col("event_id").cast("string").alias("question"), answer.alias("correct"), answer.alias("model_answer"), empty.alias("raw_response"), empty.alias("error"), F.when(k == 0, F.create_map(F.lit("input"), F.lit(5))).alias("tokens"), F.when(k == 1, True).when(k == 0, False).alias("is_correct"), F.when(k == 0, "mismatch").alias("reason"))
+    return records.failures(rows).select(F.col("question").cast("bigint").alias("event_id"), "reason", "input_tokens")
+
+
+@query("select c_custkey, case when c_custkey % 2 = 0 then '30' else 'Unknown' end as answer from customer")
+def open_questions(t):
+    """Short answers to questions for numbers; the different cases are proven once."""
+    rows = t("customer").select("c_custkey", (F.col("c_custkey") % 2).alias("id"))
+    cases = rows.select("id").distinct()
+    fact = F.when(F.col("id") == 0, "Count(b) = 30").otherwise("Other(b)")
+    cases = cases.select("id", F.array(F.lit("Class B has thirty students")).alias("premises_nl"), F.array(fact).alias("premises_fol"), F.lit("How many students are in class B?").alias("question"), F.lit("There are many").alias("candidate"), F.lit("Count(b) >= 30").alias("conclusion_fol"))
+    return rows.join(decisions.open_ended(cases).select("id", "answer"), "id").select("c_custkey", "answer")
