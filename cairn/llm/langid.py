@@ -26,7 +26,7 @@ class Profiles:
     """Trigram vectors, made when first seen and kept up to MAX_GRAMS; their values depend on the letters only."""
 
     def __init__(self) -> None:
-        self.letters = np.zeros(0x110000, np.int64)
+        self.letters = np.zeros(0x110000, np.int32)
         for c in range(0x110000):
             if (x := chr(c)).isalpha():
                 self.letters[c] = ord(x.lower()[0])
@@ -35,19 +35,19 @@ class Profiles:
 
     def _clear(self) -> None:
         self.rows: dict[int, int] = {}
-        self.matrix = np.zeros((1024, DIMENSIONS), np.float32)
+        self.matrix = np.zeros((1024, DIMENSIONS), np.int8)
 
     def _letter(self, c: int) -> np.ndarray:
         if c not in self.vectors:
             if len(self.vectors) > MAX_GRAMS:
                 self.vectors.clear()
-            self.vectors[c] = np.random.default_rng([SEED, c]).integers(0, 2, DIMENSIONS).astype(np.float32) * 2 - 1
+            self.vectors[c] = np.random.default_rng([SEED, c]).integers(0, 2, DIMENSIONS).astype(np.int8) * 2 - 1
         return self.vectors[c]
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The text's trigrams over letters and single boundaries, and their counts; none without a letter."""
         x = self.letters[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        x = np.concatenate(([0], x, [0]))
+        x = np.concatenate(([0], x, [0])).astype(np.int64)
         x = x[np.concatenate(([True], (x[1:] != 0) | (x[:-1] != 0)))]
         if len(x) < 3:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -68,7 +68,7 @@ class Profiles:
                     a, b, c = g >> 42, (g >> 21) & 0x1FFFFF, g & 0x1FFFFF
                     self.matrix[k] = np.roll(self._letter(a), 2) * np.roll(self._letter(b), 1) * self._letter(c)
             rows = np.fromiter(map(self.rows.__getitem__, part), np.int64, len(part))
-            out += counts[at : at + 4096].astype(np.float32) @ self.matrix[rows]
+            out += counts[at : at + 4096].astype(np.float32) @ self.matrix[rows].astype(np.float32)
         return out
 
 

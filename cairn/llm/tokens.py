@@ -5,7 +5,6 @@ The tokenizer splits at white space before anything else, so the ids of a text a
 from __future__ import annotations
 
 import re
-import unicodedata
 
 import numpy as np
 import regex
@@ -16,7 +15,7 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N
 _PLAIN = re.compile(r"[\x21-\x7e¡-ɏ]+")
 #: Separators of Python's split() that the tokenizer doesn't take for white space.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-MAX_WORDS = 500_000
+MAX_WORDS = 200_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,11 +47,16 @@ class WordTokenizer:
         return found
 
     def _word(self, word: str) -> bytes:
-        """A word with special tokens, rare scripts or combining marks goes to the tokenizer itself."""
+        """A word with special tokens, rare scripts or combining marks goes to the tokenizer itself; the others are composed
+        already, and their lower case depends on no neighbour."""
         if "<|" in word or not _PLAIN.fullmatch(word):
             return self._encode(word)
-        word = unicodedata.normalize("NFC", word)
-        return b"".join(map(self._piece, _PIECES.findall("".join(c.lower() for c in word) if not word.isascii() else word.lower())))
+        low = word.lower()
+        if low.isalpha():
+            return self._piece(low)
+        if low[:-1].isalpha() and low[-1] in ".,;:!?":
+            return self._piece(low[:-1]) + self._piece(low[-1])
+        return b"".join(map(self._piece, _PIECES.findall(low)))
 
     def ids(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
