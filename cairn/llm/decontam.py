@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,22 +115,23 @@ class Automaton:
         return [(a, b) for a, b in spans], items
 
 
-def automata(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[Broadcast]:
-    """The items in broadcasts of about shard_bytes of text at most."""
+def automata(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[tuple[str, Broadcast]]:
+    """The items in broadcasts of about shard_bytes of text at most, each with a name that no other one has."""
     sc = benchmark.sparkSession.sparkContext
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     for k in range(shards):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        yield sc.broadcast([tuple(r) for r in part.orderBy("item_id", "text").toLocalIterator()])
+        yield uuid.uuid4().hex, sc.broadcast([tuple(r) for r in part.orderBy("item_id", "text").toLocalIterator()])
 
 
-_BUILT: dict[int, Automaton] = {}
+_BUILT: dict[tuple[str, int], Automaton] = {}
 
 
-def _automaton(items: Broadcast, window: int) -> Automaton:
-    key = (id(items), window)
+def _automaton(name: str, items: Broadcast, window: int) -> Automaton:
+    """The worker's automaton of a shard; not kept by the broadcast's address, which a reused worker frees and gives to the next one."""
+    key = (name, window)
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = Automaton(items.value, window)
@@ -155,10 +157,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     that share an id count once. All columns of docs are kept."""
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.lit(None).cast(SPANS), "items": F.lit(None).cast("array<string>")})
     schema = out.schema
-    for k, items in enumerate(automata(benchmark, shard_bytes)):
+    for k, (name, items) in enumerate(automata(benchmark, shard_bytes)):
 
-        def scan(batches: Iterator[pa.RecordBatch], items: Broadcast = items) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(items, window)
+        def scan(batches: Iterator[pa.RecordBatch], name: str = name, items: Broadcast = items) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(name, items, window)
             for batch in slices(batches, "text"):
                 n, hits, ids = [], [], []
                 for text, spans, known in zip(*(batch.column(c).to_pylist() for c in ("text", "hits", "items")), strict=True):

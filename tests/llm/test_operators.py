@@ -119,6 +119,17 @@ def test_decontaminated_text_and_shards(spark):
     assert one == many
 
 
+def test_decontamination_of_successive_shards(spark):
+    rng = random.Random(12)
+    items = [prose(rng, 20) for _ in range(16)]
+    docs = spark.createDataFrame(list(enumerate(items)), "doc_id long, text string").coalesce(1)
+    found = rows(decontam.contamination(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), shard_bytes=200))
+    assert [found[k]["items"] for k in range(16)] == [[str(k)] for k in range(16)]
+    for k in range(6):
+        one = rows(decontam.contamination(docs, spark.createDataFrame([(k, items[k])], "item_id long, text string")))
+        assert [i for i, r in one.items() if r["items"]] == [k]
+
+
 def test_line_dedup(spark, tables):
     docs = corpus()
     found = rows(lines.deduplicated(spark.read.parquet(tables(docs) + "/documents.parquet")))
