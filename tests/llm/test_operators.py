@@ -155,6 +155,25 @@ def test_line_dedup(spark, tables):
         assert found[i].text == (t if not t else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())))
 
 
+def test_line_dedup_recall(spark):
+    rng = random.Random(21)
+    base = [prose(rng, rng.randint(12, 60)) for _ in range(120)]
+
+    def edited(x, k):
+        words, letters = x.split(), list(x)
+        words[rng.randrange(len(words))] = prose(rng, 1)
+        for at in rng.sample(range(len(x)), 1 if k % 3 else len(x) // 20):
+            letters[at] = rng.choice("aeiou")
+        return "".join(letters) if k % 2 else " ".join(words)
+
+    copies = [edited(x, k) for k, x in enumerate(base)]
+    assert all(lines.edit_similarity(a.encode(), b.encode()) for a, b in zip(base, copies, strict=True))
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate([*base, *copies])], "doc_id long, text string")
+    gone = {r.doc_id: r.n_removed for r in lines.deduplicated(docs, radius=None).collect()}
+    assert not any(gone[k] for k in range(120))
+    assert sum(gone[k] for k in range(120, 240)) >= 114
+
+
 def test_edit_similarity():
     def edits(a, b):
         row = list(range(len(b) + 1))
