@@ -32,3 +32,20 @@ def test_names_that_clash(spark):
         out = stage(spark, docs, "")
         assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
     assert simhash.keep_first(docs.limit(0)).count() == 0
+
+
+def test_near_dedup_at_five_word_shingles(spark):
+    rng = random.Random(31)
+    base = [prose(rng, 200).split() for _ in range(40)]
+    near = []
+    for words in base:
+        copy = list(words)
+        for at in (50, 120, 180)[: rng.randint(1, 3)]:
+            copy[at] = "changed"
+        near.append(copy)
+    far = [[w if k % 6 else "other" for k, w in enumerate(words)] for words in base]
+    docs = spark.createDataFrame([(k, " ".join(words)) for k, words in enumerate([*base, *near, *far])], "doc_id long, text string")
+    for a, b, c in zip(base, near, far, strict=True):
+        x, y, z = (simhash.shingles(" ".join(t)) for t in (a, b, c))
+        assert simhash.jaccard(x, y) >= 0.8 > simhash.jaccard(x, z)
+    assert {r.doc_id for r in simhash.keep_first(docs).collect()} == {*range(40), *range(80, 120)}
