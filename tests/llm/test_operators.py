@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from cairn.llm import ctph, decontam, hilbert, langid, lines, packing, quality, repeats, secrets, simhash
+from cairn.llm import ctph, decontam, edits, hilbert, langid, lines, packing, quality, repeats, secrets, simhash
 from cairn.llm.queries import QUERIES
 from cairn.llm.tokens import WordTokenizer
 
@@ -130,69 +130,131 @@ def test_decontamination_of_successive_shards(spark):
         assert [i for i, r in one.items() if r["items"]] == [k]
 
 
-def test_line_dedup(spark, tables):
-    docs = corpus()
-    found = rows(lines.deduplicated(spark.read.parquet(tables(docs) + "/documents.parquet")))
+def edits_of(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return row[-1]
+
+
+def alike(a, b):
+    return abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and edits_of(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+
+
+def plain_lines(text):
+    """Normalised lines, from the rule and not the operator's own code."""
+    return [" ".join(re.sub(r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]", " ", x.lower()).split(" ")).strip() for x in (text or "").split("\n")]
+
+
+def expected_lines(docs):
+    """Per document the places of lines that an equal or similar line has before, over connected groups."""
     seen, places = {}, []
     for i, t, *_ in docs:
-        for k, x in enumerate(lines.normalised(t or "")):
+        for k, x in enumerate(plain_lines(t)):
+            x = re.sub(" +", " ", x)
             if x:
                 places.append((x, i, k))
-                seen.setdefault(x, (i, k))
-    unique = list(seen)
-    prints, root = lines.simhashes(unique).tolist(), list(range(len(unique)))
-    for _ in range(3):
-        for i in range(len(unique)):
-            for j in range(len(unique)):
-                if (prints[i] ^ prints[j]).bit_count() <= 3 and lines.edit_similarity(unique[i], unique[j]):
-                    root[i] = root[j] = min(root[i], root[j])
-    number, keep, gone = {x: root[k] for k, x in enumerate(unique)}, {}, {}
+                seen.setdefault(x, len(seen))
+    unique, root = list(seen), list(range(len(seen)))
+    links = [(a, b) for a in range(len(unique)) for b in range(a) if alike(unique[a], unique[b])]
+    for _ in unique:
+        changed = False
+        for a, b in links:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+        if not changed:
+            break
+    keep, gone = {}, {}
     for x, i, k in places:
-        if keep.setdefault(number[x], (i, k)) != (i, k):
+        if keep.setdefault(root[seen[x]], (i, k)) != (i, k):
             gone.setdefault(i, set()).add(k)
+    return gone
+
+
+def test_line_dedup(spark, tables):
+    docs = [r for r in corpus() if len(r[1] or "") < 5000]
+    path = tables(docs)
+    found, gone = rows(lines.deduplicated(spark.read.parquet(path + "/documents.parquet"))), expected_lines(docs)
     assert gone
+    query = rows(QUERIES["op1_line_dedup"](spark, path))
     for i, t, *_ in docs:
-        assert found[i].text == (t if not t else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())))
+        kept = t if not t else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ()))
+        assert found[i].text == kept
+        assert (query[i].n_removed, query[i].kept_sha256) == (len(gone.get(i, ())), hashlib.sha256((kept or "").encode()).hexdigest())
+
+
+@pytest.mark.parametrize("paired", [16, 2])
+def test_lines_that_meet_in_chunks(spark, monkeypatch, paired):
+    rng = random.Random(13)
+    line = prose(rng, 14).split()
+    docs = [(k, " ".join([*line[:4], prose(rng, 1), *line[5:9], prose(rng, 1) if k % 3 else line[9], *line[10:]]), None, None, 1) for k in range(40)]
+    docs += [(100 + k, " ".join([line[0], line[1], prose(rng, 12)]), None, None, 1) for k in range(40)]
+    monkeypatch.setattr(lines, "PAIRED", paired)
+    monkeypatch.setattr(lines, "CHUNK", 7)
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    gone = expected_lines(docs)
+    assert {r.doc_id: r.n_removed for r in lines.deduplicated(table).collect()} == {i: len(gone.get(i, ())) for i, *_ in docs}
 
 
 def test_line_dedup_recall(spark):
+    """Of lines of 5 to 60 words, each with a copy of edit similarity 0.8 or more, the share that is found."""
     rng = random.Random(21)
-    base = [prose(rng, rng.randint(12, 60)) for _ in range(120)]
+    base = [prose(rng, rng.randint(5, 60)) for _ in range(200)]
 
     def edited(x, k):
         words, letters = x.split(), list(x)
         words[rng.randrange(len(words))] = prose(rng, 1)
-        for at in rng.sample(range(len(x)), 1 if k % 3 else len(x) // 20):
+        for at in rng.sample(range(len(x)), 1 if k % 3 else max(1, len(x) // 12)):
             letters[at] = rng.choice("aeiou")
         return "".join(letters) if k % 2 else " ".join(words)
 
     copies = [edited(x, k) for k, x in enumerate(base)]
-    assert all(lines.edit_similarity(a.encode(), b.encode()) for a, b in zip(base, copies, strict=True))
+    want = [k for k, (a, b) in enumerate(zip(base, copies, strict=True)) if alike(a, b)]
     docs = spark.createDataFrame([(k, x) for k, x in enumerate([*base, *copies])], "doc_id long, text string")
-    gone = {r.doc_id: r.n_removed for r in lines.deduplicated(docs, radius=None).collect()}
-    assert not any(gone[k] for k in range(120))
-    assert sum(gone[k] for k in range(120, 240)) >= 114
-
-
-def test_edit_similarity():
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, c in enumerate(a, 1):
-            new = [i]
-            for j, d in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
-            row = new
-        return row[-1]
-
-    rng = random.Random(2)
-    for _ in range(500):
-        a = "".join(rng.choice("abcé") for _ in range(rng.randint(1, 40)))
+    gone = {r.doc_id: r.n_removed for r in lines.deduplicated(docs).collect()}
+    assert len(want) > 180 and sum(gone[200 + k] for k in want) >= 0.95 * len(want)
+
+
+def test_simhash_of_lines():
+    rng = random.Random(14)
+    own = [prose(rng, n).encode() for n in (1, 3, 40, 200)]
+    prints, roll = lines.blocks(own)[3].tolist(), [pow(lines._ROLL, 3 - k, 1 << 64) for k in range(4)]
+    for x, p in zip(own, prints, strict=True):
+        padded = x + b"    "
+        data = np.array([sum(int(lines._BYTE[c]) * r for c, r in zip(padded[k : k + 4], roll, strict=True)) % (1 << 64) for k in range(len(x))], np.uint64)
+        h = lines._mix(data).tolist()
+        assert p == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
+
+
+def test_edit_similarity(monkeypatch):
+    rng, pairs = random.Random(2), []
+    for _ in range(600):
+        a = "".join(rng.choice("abcé日") for _ in range(rng.randint(1, 150)))
         b = list(a)
-        for _ in range(rng.randint(0, 10)):
+        for _ in range(rng.randint(0, 30)):
             k = rng.randint(0, len(b))
             b[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "x"])
-        b = "".join(b)
-        assert lines.edit_similarity(a.encode(), b.encode()) == (edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9)
+        pairs.append((a, "".join(b)))
+    want = [edits_of(a, b) for a, b in pairs]
+    assert edits.distances(pairs) == want
+    monkeypatch.setattr(edits, "FEW", 0)
+    assert edits.distances(pairs) == want
+    close = [d <= edits.limit(len(a), len(b)) for (a, b), d in zip(pairs, want, strict=True)]
+    assert edits.similar([(a.encode(), b.encode()) for a, b in pairs]) == close and 0 < sum(close) < len(close)
+
+
+def test_edit_similarity_of_long_lines():
+    rng = random.Random(3)
+    words = [prose(rng, 1) + str(k) for k in range(40_000)]
+    few = [w if k % 50 else "changed" for k, w in enumerate(words)]
+    many = [w if k % 2 else "changed" for k, w in enumerate(words)]
+    a, b, c = (" ".join(x).encode() for x in (words, few, many))
+    assert edits.similar([(a, b), (a, c), (a, a[: len(a) // 2])]) == [True, False, False]
+    assert edits.distances([("ab" * 5000, "ab" * 5000 + "c")]) == [1]
 
 
 def test_fingerprints(spark, tables):
