@@ -13,9 +13,12 @@ from tokenizers import Tokenizer
 #: The pre-tokenizer's pattern, as in the vocabulary file.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = re.compile(r"[\x21-\x7e¡-ɏ]+")
+#: Texts that can be lower-cased as a whole, and punctuation that is a piece of its own after a letter and before white space.
+_COMMON, _CLOSING = re.compile(r"[\x00-\x7e¡-įı-ɏ]*"), re.compile(r"(?<=[a-z])[.,;:!?](?=\s)")
 #: Separators of Python's split() that the tokenizer doesn't take for white space.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-MAX_WORDS = 200_000
+#: Words (and pieces of them) that a generation of the caches holds. A full one becomes the old one, from which what is met again is taken over.
+MAX_WORDS = 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,8 +34,8 @@ class WordTokenizer:
     def __init__(self, path: str) -> None:
         self.whole = Tokenizer.from_file(path)
         self.tokenize, self.letters = self.whole.model.tokenize, _byte_letters()
-        self.pieces: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.pieces, self.old_pieces = {}, {}
+        self.known, self.old = {}, {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -40,10 +43,14 @@ class WordTokenizer:
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= MAX_WORDS:
-                self.pieces.clear()
-            spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            found = self.pieces[piece] = np.array([t.id for t in self.tokenize(spelled)], "<u4").tobytes()
+            found = self.old_pieces.get(piece)
+            if found is None:
+                spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+                found = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(spelled)])
+            if len(piece) <= 40:
+                if len(self.pieces) >= MAX_WORDS:
+                    self.pieces, self.old_pieces = {}, self.pieces
+                self.pieces[piece] = found
         return found
 
     def _word(self, word: str) -> bytes:
@@ -61,14 +68,23 @@ class WordTokenizer:
     def ids(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
             return self._encode(text)
-        known, out = self.known, []
-        for word in text.split():
-            found = known.get(word)
-            if found is None:
-                found = self._word(word)
-                if len(word) <= 40:
-                    if len(known) >= MAX_WORDS:
-                        known.clear()
-                    known[word] = found
-            out.append(found)
+        if _COMMON.fullmatch(text) and "<|" not in text:  # fewer different words: lower case, and closing punctuation apart
+            text = _CLOSING.sub(r" \g<0>", text.lower())
+        words = text.split()
+        out = list(map(self.known.get, words))
+        if None in out:
+            for k, found in enumerate(out):
+                if found is None:
+                    out[k] = self._met(words[k])
         return b"".join(out)
+
+    def _met(self, word: str) -> bytes:
+        """The ids of a word that is not among the latest ones."""
+        found = self.known.get(word) or self.old.get(word)
+        if found is None:
+            found = self._word(word)
+        if len(word) <= 40:
+            if len(self.known) >= MAX_WORDS:
+                self.known, self.old = {}, self.known
+            self.known[word] = found
+        return found
