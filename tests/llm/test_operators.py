@@ -383,6 +383,26 @@ def test_secrets(spark, tables):
     assert clean[902].text == "see [secret] here"
 
 
+def test_random_strings_against_identifiers(spark):
+    """Recall and precision of the added spans on strings that the models were not trained on."""
+    rng = random.Random(17)
+    letters = secrets.ALPHABET[:62]
+    keys = ["".join(rng.choice(letters + ("+/_-" if k % 2 else "")) for _ in range(rng.randint(24, 44))) for k in range(150)]
+    names = [x for x in ("_".join(prose(rng, 1) for _ in range(rng.randint(4, 8))) if k % 2 else "".join(prose(rng, 1).title() for _ in range(6)) for k in range(400)) if len(x) >= 20]
+    docs = [(k, prose(rng, 20) + " " + x + " " + prose(rng, 20)) for k, x in enumerate([*keys, *names])]
+    found = rows(secrets.scan(spark.createDataFrame(docs, "doc_id long, text string")))
+    marked = {k for k, r in found.items() if any(x.kind == "markov" and x.end - x.start == len([*keys, *names][k]) for x in r.spans)}
+    caught = len(marked & set(range(len(keys))))
+    assert caught >= 0.95 * len(keys) and caught >= 0.95 * len(marked)
+
+
+def test_long_tokens_and_many_matches(spark):
+    text = "x" * 300_000 + " " + "é password=abcdef; " * 500 + "0123456789abcdef" * 2
+    found = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [x.kind for x in found.base] == ["assign"] * 500 + ["hex"] and found.base[-1].end == len(text)
+    assert all(text[x.start : x.end] == "password=abcdef" for x in found.base[:-1])
+
+
 def test_hilbert(spark, tables, tmp_path):
     docs = corpus() * 3
     found = QUERIES["op6_hilbert_shards"](spark, tables(docs)).toPandas()
