@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import documents, set_aside, slices, table
+from cairn.llm.common import documents, set_aside, slices, staged, table
 
-DIMENSIONS, SEED, MAX_GRAMS = 512, 20_011, 40_000
-#: A text whose best cosine is lower is in none of the languages learned, for reject().
-MIN_SCORE = 0.05
+DIMENSIONS, SEED, MAX_GRAMS = 1024, 20_011, 40_000
+#: For reject(): a text is in none of the languages if its best cosine is below MARGIN times this quantile of those of the labelled texts with as many trigrams (up to a factor of two).
+LEAST_QUANTILE, MARGIN = 0.001, 0.8
 
 
 class Profiles:
@@ -107,18 +107,19 @@ def prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def identify(docs: DataFrame, learned: tuple[list[str], np.ndarray]) -> DataFrame:
-    """docs with lang_pred and score (the best cosine, 0 to 1); `und` and 0 for a text without a letter. Equal
-    cosines: the language that sorts first."""
+    """docs with lang_pred, score (the best cosine, 0 to 1) and n_grams (trigrams); `und`, 0 and 0 for a text without a letter.
+    Equal cosines: the language that sorts first."""
     langs, vectors = learned
-    schema = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
+    schema = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0), "n_grams": F.lit(0).cast("long")}).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = profiles()
         for batch in slices(batches, "text"):
-            best, score = [], []
+            best, score, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 grams, counts = p.grams(text or "")
                 x = p.bundle(grams, counts) if len(grams) and langs else None
+                sizes.append(int(counts.sum()))
                 if x is None:
                     best.append("und")
                     score.append(0.0)
@@ -127,7 +128,7 @@ def identify(docs: DataFrame, learned: tuple[list[str], np.ndarray]) -> DataFram
                 k = int(np.argmax(cosines))
                 best.append(langs[k])
                 score.append(min(1.0, max(0.0, float(cosines[k]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(sizes, pa.int64())], [*batch.schema.names, "lang_pred", "score", "n_grams"])
 
     return docs.mapInArrow(predict, schema)
 
@@ -143,14 +144,24 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score for every row of `documents`; see identify() and held_out().
+
+    A null or empty text, or one without a letter, is `und` with score 0; without any labelled text all are. Very long texts count
+    whole, each labelled text at equal weight; repeated rows are rows; columns with clashing names are never read."""
     docs = table(spark, sf_dir, "documents")
     learned = learn(docs.select("doc_id", "text", "lang"))
     return identify(documents(docs), learned).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def reject(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without those in none of the languages learned from their lang column: no letter, or a best cosine
-    under min_score. Where nothing is labelled nothing can be learned and every text goes."""
-    docs, kept = set_aside(docs, "lang_pred", "score")
-    found = identify(docs, learn(docs.select("doc_id", "text", "lang")))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*kept)
+def reject(docs: DataFrame, quantile: float = LEAST_QUANTILE, margin: float = MARGIN) -> DataFrame:
+    """docs without those in none of the languages learned from their lang column: no letter, or a best cosine under what texts of
+    its length have, learned from the scores of all labelled texts (short ones hardly tell, so hardly any goes). Where nothing is
+    labelled nothing can be learned and every text goes. Null and empty texts go, repeated rows are treated alike, and columns
+    named like ours are kept as they are."""
+    docs, kept = set_aside(docs, "lang_pred", "score", "n_grams")
+    found = staged(identify(docs, learn(docs.select("doc_id", "text", "lang"))), "scored").where("lang_pred <> 'und'")
+    size = F.floor(F.log2("n_grams")).cast("int")
+    limits = found.where("lang is not null").groupBy(size.alias("size")).agg(F.percentile_approx("score", quantile, 100_000).alias("least")).collect()  # a row for each power of two
+    least = {r["size"]: r.least * margin for r in limits}
+    known = F.create_map(*[F.lit(x) for k in sorted(least) for x in (k, least[k])]) if least else F.create_map(F.lit(-1), F.lit(0.0))
+    return found.where(F.col("score") >= F.coalesce(known[size], F.lit(0.0))).select(*kept)

@@ -292,6 +292,44 @@ def test_language_id(spark, tables):
     assert kept.columns == ["doc_id", "text", "lang", "score", "n_chars"] and {r.doc_id for r in kept.collect()} == set(range(90)) | {1002}
 
 
+def test_profiles_against_plain_vectors(spark, tables):
+    """Predictions and scores from vectors bound and bundled trigram by trigram."""
+    docs = [(k, t, lang, None, 1) for k, (_, t, lang, *_) in enumerate(corpus()) if len(t or "") < 3000]
+    found = rows(QUERIES["op3_language_id"](spark, tables(docs)))
+
+    def vector(c):
+        return np.random.default_rng([langid.SEED, c]).integers(0, 2, langid.DIMENSIONS) * 2 - 1
+
+    def profile(text):
+        x = [ord(c.lower()[0]) if c.isalpha() else 0 for c in f" {text or ''} "]
+        x = [c for k, c in enumerate(x) if c or not k or x[k - 1]]
+        out = sum((np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c) for a, b, c in zip(x, x[1:], x[2:])), np.zeros(langid.DIMENSIONS))
+        return out / np.linalg.norm(out) if any(x) and out.any() else None
+
+    sums = {}
+    for i, t, lang, *_ in docs:
+        x = profile(t)
+        if lang and x is not None and zlib.crc32(str(i).encode()) % 5:
+            sums[lang] = sums.get(lang, 0) + x
+    for i, t, *_ in docs:
+        x = profile(t)
+        if x is not None:
+            scores = {k: float(v @ x / np.linalg.norm(v)) for k, v in sums.items()}
+            best = max(sorted(scores), key=scores.get)
+            assert found[i].score == pytest.approx(max(0, scores[best]), abs=1e-4) and (found[i].lang_pred == best or abs(scores[best] - scores[found[i].lang_pred]) < 1e-4)
+        else:
+            assert found[i].lang_pred == "und"
+
+
+def test_texts_in_no_language_go(spark):
+    rng = random.Random(41)
+    docs = [(k, prose(rng, rng.randint(20, 200)), "en") for k in range(300)]
+    docs += [(1000 + k, " ".join("".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(60)), None) for k in range(50)]
+    docs += [(2000 + k, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(60)), None) for k in range(50)]
+    kept = {r.doc_id for r in langid.reject(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert kept == set(range(300))
+
+
 def test_packing(spark, tables):
     docs = [(k, t, *x) for k, (_, t, *x) in enumerate(corpus() * 4)]
     found = QUERIES["op9_packing"](spark, tables(docs)).toPandas()
