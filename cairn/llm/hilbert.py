@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
-Each dimension is quantised at approximate quantiles into at most 2^BITS cells; rows are sorted by their cell's index
+Each dimension is quantised into at most 2^BITS cells, spread over the whole range; rows are sorted by their cell's index
 on the curve (ties by doc_id and text checksum, so one cell may hold any share of the rows) and the sorted run is cut
 into shards whose row counts differ by one at most. A shard then covers a compact box of every dimension, and a
 manifest of the boxes prunes files by any of them."""
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import partitions, staged, table
 
-BITS, SHARDS = 8, 24
+BITS, SHARDS, SAMPLE = 8, 24, 4096
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -46,30 +46,54 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def ordinal(column: str, kind: str) -> Column:
-    """A long in the column's order: numbers as they are, other values by their first seven bytes; null is lowest."""
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp") or kind.startswith("decimal"):
-        value = F.col(column).cast("double").cast("long") if kind not in ("date", "timestamp") else F.unix_seconds(F.col(column).cast("timestamp"))
-    else:
-        value = F.conv(F.rpad(F.substring(F.hex(F.col(column).cast("string").cast("binary")), 1, 14), 14, "0"), 16, 10).cast("long")
-    return F.coalesce(value, F.lit(-(1 << 62)))
+def _number(column: str, kind: str) -> Column | None:
+    """A double in the column's order, null for null; None for a column that isn't numeric."""
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean") or kind.startswith("decimal"):
+        value = F.col(column).cast("double")
+        return F.when(~F.isnan(value), value)
+    return None
+
+
+def spread(ranks: np.ndarray, cells: int, bits: int) -> np.ndarray:
+    """Ranks 0 to cells - 1 over the whole range of 2^bits, so that a dimension with few values divides the curve's first
+    turns too."""
+    return (ranks << bits) // max(1, cells)
 
 
 def curve(df: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
-    """df with its rows' `curve` index. The cut points are at most 2^bits - 1 numbers a dimension."""
-    kinds = dict(df.dtypes)
-    wide = df.withColumns({f"__{k}": ordinal(c, kinds[c]) for k, c in enumerate(dimensions)})
+    """df with its rows' `curve` index. Numbers are cut at approximate quantiles, other values by their whole value: at all
+    different ones if there are at most 2^bits, else at those of SAMPLE different ones, the least by hash. So at most SAMPLE
+    values a dimension reach the driver."""
+    kinds, wide, names = dict(df.dtypes), df, [f"__{k}" for k in range(len(dimensions))]
+    numbers = [_number(c, kinds[c]) for c in dimensions]
+    wide = df.withColumns({n: F.col(c).cast("string") if x is None else x for n, c, x in zip(names, dimensions, numbers, strict=True)})
     ranks = [k / (1 << bits) for k in range(1, 1 << bits)]
-    found = wide.agg(*[F.percentile_approx(f"__{k}", ranks, 10_000).alias(f"c{k}") for k in range(len(dimensions))]).first()
-    cuts = [np.unique(np.array(x or [], np.int64)) for x in found]
+    found = [F.percentile_approx(n, ranks, 10_000).alias(n) for n, x in zip(names, numbers, strict=True) if x is not None]
+    cuts = wide.agg(*found, *[F.bool_or(F.col(n).isNull()).alias(f"null{n}") for n in names]).first().asDict()
+    null = [int(bool(cuts[f"null{n}"])) for n in names]  # the lowest cell, where there are any
+    for n, x in zip(names, numbers, strict=True):
+        if x is None:
+            some = wide.select(n).where(F.col(n).isNotNull()).distinct().orderBy(F.xxhash64(n), n).limit(SAMPLE).collect()
+            values = sorted(r[0] for r in some)
+            cuts[n] = values if len(values) <= 1 << bits else [values[len(values) * k // (1 << bits)] for k in range(1 << bits)]
+    cuts = {n: np.unique(np.array(x or [], object if numbers[k] is None else np.float64)) for k, (n, x) in enumerate((n, cuts[n]) for n in names)}
     schema = wide.withColumn("curve", F.lit(0).cast("long")).schema
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = np.stack([np.searchsorted(c, batch.column(f"__{k}").to_numpy()) for k, c in enumerate(cuts)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hilbert_index(cells, bits))], [*batch.schema.names, "curve"])
+            cells = []
+            for n, lowest in zip(names, null, strict=True):
+                values, own = batch.column(n), np.full(batch.num_rows, -lowest)
+                given = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+                # the first text value is a cell's least, a number's cut lies below the cell
+                side = "right" if cuts[n].dtype == object else "left"
+                own[given] = np.searchsorted(cuts[n], values.take(pa.array(given)).to_numpy(zero_copy_only=False), side) - (side == "right")
+                cells.append(spread(own + lowest, len(cuts[n]) + (side == "left") + lowest, bits))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hilbert_index(np.stack(cells), bits))], [*batch.schema.names, "curve"])
 
-    return wide.mapInArrow(index, schema).drop(*[f"__{k}" for k in range(len(dimensions))])
+    return wide.mapInArrow(index, schema).drop(*names)
 
 
 def cut(df: DataFrame, order: list[str], shards: int) -> DataFrame:
@@ -93,7 +117,10 @@ def cut(df: DataFrame, order: list[str], shards: int) -> DataFrame:
 
 def sharded(docs: DataFrame, dimensions: list[str], shards: int = SHARDS, keep: list[str] | None = None) -> DataFrame:
     """docs (doc_id, text, dimensions) with size, text_crc32, curve, shard and slot; keep: the columns to carry along,
-    so that texts are shuffled only where they are to be written. A null text has size 8."""
+    so that texts are shuffled only where they are to be written. A null text has size 8; a null dimension lies in the lowest
+    cell; repeated rows are rows, and ties go by doc_id and checksum; an empty table gives none. Columns of docs that are named like
+    the new ones are left out, so `size` as a dimension is the new one."""
+    docs = docs.drop("size", "text_crc32", "curve", "shard", "slot", *[f"__{x}" for x in ("at", "part", "before", "rank")])
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     out = docs.select("*", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
     out = out.select(*dict.fromkeys([*(docs.columns if keep is None else ["doc_id", *keep]), *dimensions, "size", "text_crc32"]))
@@ -120,5 +147,7 @@ def read_shards(spark, path: str, bounds: dict[str, tuple]) -> DataFrame:
 
 
 def op6_hilbert_shards(spark, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law (`rows`), shard, slot and grown_shard (null) for every row of `documents`, in shards along the
+    curve over lang, source and size. Nulls, very long texts, ties, repeated rows, empty tables and clashing names: see sharded()."""
     found = sharded(table(spark, sf_dir, "documents"), ["lang", "source", "size"], keep=[])
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

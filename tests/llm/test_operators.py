@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql.functions import lit as spark_lit
 from cairn.llm import ctph, decontam, edits, hilbert, langid, lines, packing, quality, repeats, secrets, simhash
 from cairn.llm.queries import QUERIES
 from cairn.llm.tokens import WordTokenizer
@@ -458,6 +459,26 @@ def test_hilbert(spark, tables, tmp_path):
     assert hilbert.read_shards(spark, str(tmp_path / "out"), {"n_chars": (0, 50)}).count() == sum(r[4] is not None and r[4] <= 50 for r in docs)
 
 
+def test_shards_follow_the_curve(spark, tables):
+    """Cells from sorted values, indices from the definition of the curve (each step moves by one cell), and pruning by any dimension."""
+    rng = random.Random(19)
+    docs = [(k, prose(rng, rng.randint(1, 90)), rng.choice(["en", "de", "fr", None]), f"https://a-common-prefix/{rng.randrange(6)}", 1) for k in range(600)]
+    found = QUERIES["op6_hilbert_shards"](spark, tables(docs)).toPandas().set_index("doc_id")
+    langs, sources = ["de", "en", "fr"], sorted({r[3] for r in docs})
+    cells = {r[0]: (0 if r[2] is None else (langs.index(r[2]) + 1) * 256 // 4, sources.index(r[3]) * 256 // 6) for r in docs}
+    for k, names in enumerate((langs, sources)):
+        for x in names:
+            read = {int(found.shard[r[0]]) for r in docs if r[2 + k] == x}
+            assert len(read) <= 12, (x, len(read))
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").withColumn("size", spark_lit(1)).withColumn("x", spark_lit(0.25))
+    whole = hilbert.sharded(table, ["lang", "source", "x"], 6, keep=["lang", "source"]).collect()
+    assert {r["size"] for r in whole} == {len(t.encode()) + 8 for _, t, *_ in docs}
+    order = sorted(whole, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in order] == sorted(r.curve for r in order)
+    for r in whole:
+        assert r.curve == int(hilbert.hilbert_index(np.array([[cells[r.doc_id][0]], [cells[r.doc_id][1]], [0]]), 8)[0])
+
+
 def test_quality(spark, tables):
     import collections
 
