@@ -63,6 +63,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 <<
             yield batch.slice(at, step)
 
 
+_HELD: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    """What a worker keeps from task to task for one operator (word ids, vectors, an automaton). A worker is used again by
+    the next operator, so what others have kept goes."""
+    for other in [k for k in _HELD if k != owner]:
+        _HELD.pop(other).clear()
+    return _HELD.setdefault(owner, {})
+
+
+def release() -> None:
+    """Let go of all that operators have kept in this worker."""
+    held("")
+
+
 def documents(df: DataFrame, *extra: str) -> DataFrame:
     """doc_id, text and further columns; a null text counts as empty."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)

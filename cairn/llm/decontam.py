@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import set_aside, slices, staged, table
+from cairn.llm.common import held, set_aside, slices, staged, table
 
 WINDOW, MAX_COVERAGE, SHARD_BYTES = 10, 0.5, 1 << 20
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -126,16 +126,13 @@ def automata(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[t
         yield uuid.uuid4().hex, sc.broadcast([tuple(r) for r in part.orderBy("item_id", "text").toLocalIterator()])
 
 
-_BUILT: dict[tuple[str, int], Automaton] = {}
-
-
 def _automaton(name: str, items: Broadcast, window: int) -> Automaton:
     """The worker's automaton of a shard; not kept by the broadcast's address, which a reused worker frees and gives to the next one."""
-    key = (name, window)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Automaton(items.value, window)
-    return _BUILT[key]
+    key, built = (name, window), held("automaton")
+    if key not in built:
+        built.clear()
+        built[key] = Automaton(items.value, window)
+    return built[key]
 
 
 def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import documents, set_aside, slices, staged, table
+from cairn.llm.common import documents, held, set_aside, slices, staged, table
 
-DIMENSIONS, SEED, MAX_GRAMS = 1024, 20_011, 40_000
+DIMENSIONS, SEED, MAX_GRAMS = 1024, 20_011, 20_000
 #: For reject(): a text is in none of the languages if its best cosine is below MARGIN times this quantile of those of the labelled texts with as many trigrams (up to a factor of two).
 LEAST_QUANTILE, MARGIN = 0.001, 0.8
 
@@ -72,19 +72,17 @@ class Profiles:
         return out
 
 
-_PROFILES: list[Profiles] = []
-
-
 def profiles() -> Profiles:
-    if not _PROFILES:
-        _PROFILES.append(Profiles())
-    return _PROFILES[0]
+    kept = held("profiles")
+    if not kept:
+        kept[0] = Profiles()
+    return kept[0]
 
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each language of a task: the sum of its texts' profiles, each at equal weight."""
     p, sums = profiles(), {}
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 2 << 20):
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
             grams, counts = p.grams(text)
             if len(grams):
@@ -114,7 +112,7 @@ def identify(docs: DataFrame, learned: tuple[list[str], np.ndarray]) -> DataFram
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = profiles()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             best, score, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 grams, counts = p.grams(text or "")

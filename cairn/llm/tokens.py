@@ -18,7 +18,7 @@ _COMMON, _CLOSING = re.compile(r"[\x00-\x7e¡-įı-ɏ]*"), re.compile(r"(?<=[a-z
 #: Separators of Python's split() that the tokenizer doesn't take for white space.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Words (and pieces of them) that a generation of the caches holds. A full one becomes the old one, from which what is met again is taken over.
-MAX_WORDS = 300_000
+MAX_WORDS = 150_000
 
 
 def _byte_letters() -> dict[int, str]:
