@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -23,16 +24,26 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def ready(spark: SparkSession) -> None:
+    """Let workers import this library, and hand them texts in batches of BATCH_BYTES instead of 10,000 rows of any length."""
     importable(spark)
+    if int(str(spark.conf.get(_BATCH)).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. One of our own only where none is set and all
+    runs in one process: on a cluster the machines would not see each other's."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="cairn-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -81,12 +92,14 @@ def release() -> None:
 
 def documents(df: DataFrame, *extra: str) -> DataFrame:
     """doc_id, text and further columns; a null text counts as empty."""
+    ready(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
 def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
     """docs with columns of these names (which an operator adds itself) renamed, and the columns to select at the end to
     have docs' own back."""
+    ready(docs.sparkSession)
     own = {n.lower() for n in names}
     clash = {c: f"__kept_{k}" for k, c in enumerate(docs.columns) if c.lower() in own}
     return docs.withColumnsRenamed(clash), [F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns]
