@@ -124,7 +124,7 @@ def reuse(df: DataFrame, story: str) -> DataFrame:
 
 
 def jaccard_pairs(df: DataFrame, key: str, words: str, least: float = 0.8) -> DataFrame:
-    """a, b, jaccard of rows whose word sets overlap in at least this share. Exact: the rarest words of each set, as many as a
+    """a, b, jaccard of rows whose word sets overlap in at least this share, none missed: the rarest words of each set, as many as a
     pair must share one of, are joined (prefix filter); equal sets are one row before the join and named by their least key."""
     sets = df.groupBy(F.array_sort(F.array_distinct(words)).alias("w")).agg(F.min(key).alias("k")).where("size(w) > 0")
     frequency = sets.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("f"))

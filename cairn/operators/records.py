@@ -212,10 +212,10 @@ def failure_brief(failures_: DataFrame) -> DataFrame:
     return failures_.select("question", "correct", "model_answer", "reason", "error")
 
 
-def failed_cases(df: DataFrame, exact: str, syntax: str, question: str, qa: str) -> DataFrame:
-    """Rows that are not exact, have bad syntax, or answer their question wrongly."""
+def failed_cases(df: DataFrame, same: str, syntax: str, question: str, qa: str) -> DataFrame:
+    """Rows that differ, have bad syntax, or answer their question wrongly."""
     off = lambda c: ~F.coalesce(F.col(c), F.lit(False))
-    return df.where(off(exact) | off(syntax) | ((F.coalesce(F.length(question), F.lit(0)) > 0) & off(qa)))
+    return df.where(off(same) | off(syntax) | ((F.coalesce(F.length(question), F.lit(0)) > 0) & off(qa)))
 
 
 def policy_block(tasks: DataFrame, policies: DataFrame, examples: DataFrame, warnings: str | None = None) -> DataFrame:

@@ -261,11 +261,11 @@ def tolerance_match(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", physics.numeric_match(F.col("l_quantity") * 1.015, F.lit("V"), truth, F.lit("V"), truth.cast("bigint").cast("string")).alias("matched"))
 
 
-@query("""select count(*) as total, coalesce(sum(case when quality = toxic then 1.0 else 0.0 end) / count(*), 0) * 100 as exact, coalesce(sum(case when quality = 1 and toxic = 0 then 1.0 else 0.0 end) / nullif(sum(case when quality = 1 then 1.0 else 0.0 end), 0), 0) * 100 as clean, 0.0 as none from labels""")
+@query("""select count(*) as total, coalesce(sum(case when quality = toxic then 1.0 else 0.0 end) / count(*), 0) * 100 as same, coalesce(sum(case when quality = 1 and toxic = 0 then 1.0 else 0.0 end) / nullif(sum(case when quality = 1 then 1.0 else 0.0 end), 0), 0) * 100 as clean, 0.0 as none from labels""")
 def metric_rollup(t):
     one = F.lit(1)
     good = (F.col("quality") == 1).cast("int")
-    return profiling.metrics(t("labels"), {"exact": ((F.col("quality") == F.col("toxic")).cast("int"), one), "clean": (good * (F.col("toxic") == 0).cast("int"), good), "none": (F.lit(0), F.lit(0))})
+    return profiling.metrics(t("labels"), {"same": ((F.col("quality") == F.col("toxic")).cast("int"), one), "clean": (good * (F.col("toxic") == 0).cast("int"), good), "none": (F.lit(0), F.lit(0))})
 
 
 @query("select c_custkey, repeat('(', c_custkey % 4) || 'P' || repeat(')', c_custkey % 4) as formula from customer")

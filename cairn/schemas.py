@@ -16,8 +16,8 @@ PREDICT_RESPONSE = "query_id string, answer string, unit string, explanation str
 CHAT = "messages array<struct<role:string,content:string>>"
 GLOSSARY = "predicates array<string>, constants array<string>"
 FAILURE = "question string, correct string, model_answer string, raw_response string, error string, reason string, input_tokens int, output_tokens int"
-FOL_FAILED_CASE = "premises array<string>, expected array<string>, predicted array<string>, exact boolean, syntax boolean, question string, qa_correct boolean"
+FOL_FAILED_CASE = "premises array<string>, expected array<string>, predicted array<string>, same boolean, syntax boolean, question string, qa_correct boolean"
 PHYSICS_FAILED_CASE = "input string, expected string, predicted string, json boolean, syntax boolean, executed boolean, correct boolean"
-ROUTER_FAILED_CASE = "input string, expected string, predicted string, exact boolean, json boolean, domains boolean, multi_state boolean"
+ROUTER_FAILED_CASE = "input string, expected string, predicted string, same boolean, json boolean, domains boolean, multi_state boolean"
 NOTATION = "canonical_latex string, meaning string, your_notation string"
 TEXT_DOCUMENT = "name string, text string"

@@ -14,6 +14,6 @@ def json_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
 
 
 def run(source: DataFrame, projection: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Apply a batch projection to each micro-batch and append the rows as JSON; each file is taken exactly once."""
+    """Apply a batch projection to each micro-batch and append the rows as JSON; each file is taken once."""
     query = projection(source).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (query.trigger(availableNow=True) if once else query).start()

@@ -45,8 +45,9 @@ def test_names_and_variables(spark):
     assert formula.structure_plain("ForAll(z, P(z))") == formula.structure_plain("ForAll(q, Zed(q))")
     assert one(spark, formula.unbracket_quantifiers(F.col("a")), "ForAll([x, y], P(x,y))") == "ForAll(x, ForAll(y, P(x,y)))"
     assert len(formula.shorten_name_plain("VeryLong" * 12)) <= 50
-    assert formula.extract_formulas.plain('```json\n["P(a)", " Q(b) "]\n```') == ["P(a)", "Q(b)"]
-    assert formula.extract_formulas.plain("1. P(a)\n2) Q(b),\nKey Predicates\nR(c)") == ["P(a)", "Q(b)"]
+    for reply in ('```json\n["P(a)", " Q(b) ", 3]\n```', '["P(a)", "Q(b)"]', '<think>["R(c)"]</think>1. P(a)\n\nThese: are two\n2) "Q(b)",\nKey Predicates\nR(c)'):
+        assert one(spark, formula.extract_formulas(F.col("a")), reply) == ["P(a)", "Q(b)"]
+    assert one(spark, formula.extract_formulas(F.col("a")), "") == []
     df = spark.createDataFrame([(["Human(socrates)", "ForAll(x, (Human(x) -> Mortal(x)))"],)], "f array<string>")
     r = df.select(formula.predicates(F.col("f")).alias("p"), formula.constants(F.col("f")).alias("c"), formula.forbidden_symbols(F.array(F.lit("a*b"), F.lit("P(a)"))).alias("s")).first()
     assert (r.p, r.c, r.s) == (["Human", "Mortal"], ["socrates"], [0])
@@ -107,8 +108,10 @@ def test_prover_against_truth_tables():
 
 
 def test_language(spark):
-    assert language.parse_options_plain("Pick. A) red B) blue") == {"A": "red", "B": "blue"}
-    assert language.parse_options_plain("A: one\nmore\nB: two")["B"] == "two"
+    assert one(spark, language.parse_options(F.col("a")), "Pick. A) red B) blue") == {"A": "red", "B": "blue"}
+    assert one(spark, language.parse_options(F.col("a")), "A: one\nmore\nB: two") == {"A": "one\nmore", "B": "two"}
+    assert one(spark, language.parse_options(F.col("a")), "A.one\nb.two\nthree") == {"A": "one", "B": "two\nthree"}
+    assert one(spark, language.parse_options(F.col("a")), "Nothing here") == {}
     assert one(spark, language.clean(F.col("a")), " The Dog's-House ") == "thedoghouse"
     assert one(spark, language.strip_framing(F.col("a")), "Is it true that birds fly?") == "Birds fly"
     assert one(spark, language.reasoning_steps(F.col("a")), "Step 1: add. Step 2: divide.") == ["add.", "divide."]
