@@ -508,3 +508,6 @@ def open_questions(t):
     fact = F.when(F.col("id") == 0, "Count(b) = 30").otherwise("Other(b)")
     cases = cases.select("id", F.array(F.lit("Class B has thirty students")).alias("premises_nl"), F.array(fact).alias("premises_fol"), F.lit("How many students are in class B?").alias("question"), F.lit("There are many").alias("candidate"), F.lit("Count(b) >= 30").alias("conclusion_fol"))
     return rows.join(decisions.open_ended(cases).select("id", "answer"), "id").select("c_custkey", "answer")
+
+
+from cairn.plans import texts  # noqa: E402, F401  registers further queries
