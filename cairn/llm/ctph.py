@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import documents, partitions, slices, table
 
-WINDOW, PIECES, SMALLEST = 7, 64, 3
+#: MOST: symbols of a signature; where boundaries are denser (a periodic text), the last symbol stands for all the rest.
+WINDOW, PIECES, SMALLEST, MOST = 7, 64, 3, 256
 _SYMBOLS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _BYTE = np.random.default_rng(7_001).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _ROLL, _BASE = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
@@ -42,6 +43,8 @@ def block_size(n: int) -> int:
 def _symbols(powers: tuple, sums: np.ndarray, cuts: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
     """One string for each text: a symbol for each of its pieces, cut after the bytes in cuts and at its end."""
     filled = ends > starts
+    owner = np.searchsorted(ends, cuts + 1, "left")
+    cuts = cuts[np.arange(len(cuts)) - np.searchsorted(owner, owner) < MOST - 1]
     stops = np.union1d(cuts + 1, ends[filled])
     text = np.searchsorted(ends, stops, "left")
     begins = np.concatenate(([0], stops[:-1])) if len(stops) else stops
@@ -95,10 +98,10 @@ def common_subsequence(a: str, b: str) -> int:
 
 
 def _likeness(a: str, b: str) -> float:
-    """1 - insertions and deletions / both lengths; 0 without a common run of WINDOW symbols, or of all (3 at least)
-    of a shorter string."""
+    """1 - insertions and deletions / both lengths; 0 without a common run of WINDOW symbols, or of a third of a shorter
+    string's (3 at least)."""
     a, b = (re.sub(r"(.)\1{3,}", r"\1\1\1", x) for x in (a, b))  # long runs say little
-    n = min(WINDOW, max(3, min(len(a), len(b))))
+    n = min(WINDOW, max(3, min(len(a), len(b)) // 3))
     runs = {a[k : k + n] for k in range(len(a) - n + 1)}
     if not any(b[k : k + n] in runs for k in range(len(b) - n + 1)):
         return 0.0
@@ -149,7 +152,7 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([where, pa.array([is_halo] * rows.num_rows), *rows.columns], ["part", "halo", *rows.schema.names])
 
     dealt = docs.select(key.alias("key"), "doc_id", "text").mapInArrow(deal, "part int, halo boolean, key long, doc_id long, text string")
-    return dealt.repartition(n, "part").sortWithinPartitions("part", "halo", F.desc("key"), "text").drop("key")
+    return dealt.repartitionById(n, "part").sortWithinPartitions("part", "halo", F.desc("key"), "text").drop("key")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -175,4 +178,9 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def op2_ctph(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for every row of `documents`.
+
+    A null text is empty; equal texts have equal fingerprints; a null doc_id sorts last, rows that repeat a doc_id go by text, and
+    a single row is its own next. Very long texts are hashed whole, with at most MOST symbols. An empty table gives none; columns
+    with clashing names are never read."""
     return with_next(documents(table(spark, sf_dir, "documents")))

@@ -220,6 +220,10 @@ SQL = r"""with b as (select coalesce(cast(item_id as varchar), '') as item, rege
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every row of `documents`; see contamination().
+
+    A null or empty text has no words; very long texts stream through whole; repeated rows are rows; an empty table gives none, and with
+    an empty benchmark nothing is hit; columns with clashing names are never read."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])

@@ -3,7 +3,7 @@
 Any LENGTH consecutive bytes are a window; a window is repeated if the same bytes start earlier (smaller doc_id, or the
 same document before). A rolling hash over GRAM bytes gives every window its trigger, the place of the least hash in it, so
 that equal windows have equal triggers wherever they stand. Consecutive windows with one trigger make a phrase; phrases
-overlap by LENGTH - 1 bytes, no phrase cuts a window, and a window lies in exactly one phrase. So the corpus is a dictionary
+overlap by LENGTH - 1 bytes, no phrase cuts a window, and a window lies in one phrase. So the corpus is a dictionary
 of different phrases and a parse, the places of each:
 
 1. Phrases are grouped by trigger and by content, both by 64-bit hashes. All but the first place of a phrase are repeated
@@ -36,7 +36,7 @@ HOT, SHARE, MAX_HOT = 1 << 20, 64, 1 << 16
 _BYTE = np.random.default_rng(10_007).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _ROLL, _BASE = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_PLACES = 22  # bits for a place in a batch
+_PLACES = 31  # bits for a place in a batch, as many as an array of bytes can have: the same hash bits decide at every size
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -60,7 +60,7 @@ def phrases(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
         gram = gram[:-k] * np.uint64(pow(_ROLL, k, 1 << 64)) + gram[k:]
         k *= 2
     gram = _mix(gram)
-    low = np.uint64((1 << _PLACES) - 1) if n <= 1 << _PLACES else np.uint64((1 << int(n).bit_length()) - 1)
+    low = np.uint64((1 << _PLACES) - 1)
     least = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)  # equal hashes: the first place
     width, k = LENGTH - GRAM + 1, 1
     while 2 * k <= width:
@@ -105,6 +105,14 @@ def _unpack(blob: bytes) -> np.ndarray:
     return out
 
 
+def _firsts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether a place is the first one with its two hashes."""
+    order = np.lexsort((b, a))  # stable
+    out = np.ones(len(a), bool)
+    out[order[1:]] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    return out
+
+
 def _merged(docs: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows of each document, adjacent and overlapping ones joined. Input sorted by document and first."""
     if not len(docs):
@@ -142,9 +150,7 @@ def _parse(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) -> I
         document, first, last, trigger, content = phrases(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes)
         rows = np.zeros(len(document), _ROW)
         rows["trigger"], rows["content"], rows["doc"], rows["first"], rows["last"] = trigger, content, ids[document], first, last
-        _, at = np.unique(trigger ^ (content * np.uint64(3)), return_index=True)  # np.unique gives first places
-        fresh = np.zeros(len(rows), bool)
-        fresh[at] = True
+        fresh = _firsts(trigger, content)
         out_shard, out_blob = [], []
         known = rows[~fresh]
         if len(known):
@@ -271,8 +277,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             up, down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(len(data), x, np.uint64))) for x in (base, pow(base, -1, 1 << 64)))
             sums = np.concatenate(([np.uint64(0)], np.cumsum(data * up[:-1], dtype=np.uint64)))
             hashes.append(_mix((sums[start + LENGTH] - sums[start]) * down[start]).view(np.int64))
-        known = np.ones(len(owner), bool)
-        known[np.unique(hashes[0] ^ hashes[1] * np.int64(3), return_index=True)[1]] = False
+        known = ~_firsts(*hashes)
         docs, first = batch.column("doc").to_numpy()[order][owner], batch.column("first").to_numpy()[order][owner] + at
         yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), pa.array(docs), pa.array(first.astype(np.int32)), pa.array(known)], ["h1", "h2", "doc", "first", "known"])
 
@@ -348,5 +353,9 @@ def _numbered(source: DataFrame) -> DataFrame:
 
 
 def op10_repeats(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of `documents`; see without_repeats().
+
+    A null or empty text has no bytes and the digest of nothing; texts of any length are parsed whole; ties and repeated rows are
+    judged as that function says; an empty table gives none; columns with clashing names are never read."""
     out = without_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -145,6 +145,10 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans for every row of `documents`; see find().
+
+    A null text is empty and has no spans; very long texts and tokens take one pass; spans that start together go by kind; repeated rows
+    are rows; an empty table gives none; columns with clashing names are never read."""
     found = scan(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint) as n_{k}") for k, *_ in KINDS]
     return found.select("doc_id", *counts, F.sha2(written("base").cast("binary"), 256).alias("base_sha256"), written("spans").alias("spans"))

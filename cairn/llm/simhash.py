@@ -215,6 +215,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id for every row of `documents`; see near_duplicates() for nulls, empty texts, repeated rows and
+    ties. Very long texts are hashed whole; an empty table gives none; columns with clashing names are never read."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -282,6 +282,30 @@ def test_fingerprints(spark, tables):
     assert ctph.common_subsequence(a, b) == table[-1][-1]
 
 
+def test_signatures_against_a_plain_version():
+    """Boundaries, pieces and symbols byte by byte; periodic texts have bounded signatures."""
+    rng, full = random.Random(8), 1 << 64
+    mix = lambda h: (lambda x: x ^ x >> 29)(((h ^ h >> 31) * 0x9E3779B97F4A7C15) % full)
+
+    def symbols(data, block):
+        values, out, start = [int(ctph._BYTE[b]) for b in data], "", 0
+        for k in range(len(data)):
+            roll = sum(values[k - j] * pow(ctph._ROLL, j, full) for j in range(min(7, k + 1))) % full
+            last = k + 1 == len(data)
+            if last or (mix(roll) >> 32) % block == block - 1 and len(out) < ctph.MOST - 1:
+                piece = mix(sum(values[i] * pow(ctph._BASE, i - start, full) for i in range(start, k + 1)) % full)
+                out += chr(ctph._SYMBOLS[piece >> 58])
+                start = k + 1
+        return out
+
+    for text in ("", "a", prose(rng, 3), prose(rng, 40), prose(rng, 200), "abcd" * 700, "é日本" * 50):
+        data = text.encode()
+        block = ctph.block_size(len(data))
+        one, two = symbols(data, block), symbols(data, 2 * block)
+        assert ctph.fingerprints([prose(rng, 5), text, "x"])[1] == f"{block}:{one}:{two}"
+    assert max(map(len, ctph.fingerprints(["abcd" * 50_000])[0].split(":"))) <= ctph.MOST
+
+
 def test_language_id(spark, tables):
     rng, letters = random.Random(4), {"aa": "abcdefgh", "bb": "hijklmno", "cc": "éèàç"}
     docs = [(k, " ".join("".join(rng.choice(letters[lang]) for _ in range(5)) for _ in range(40)), lang, "s", 1) for k, lang in enumerate(list(letters) * 30)]
@@ -392,16 +416,26 @@ def test_hot_triggers_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, repeats.without_repeats(docs, hot_places=20).collect())) == plain
 
 
+def test_triggers_do_not_depend_on_the_length_of_a_text():
+    rng = np.random.default_rng(5)
+    piece = rng.integers(97, 123, 3000).astype(np.uint8)
+    long = np.concatenate([rng.integers(97, 123, 5 << 20).astype(np.uint8), piece])
+    a = repeats.phrases(piece, np.array([0]), np.array([len(piece)]))
+    b = repeats.phrases(long, np.array([0]), np.array([len(long)]))
+    inner = set(zip(a[3][1:-1].tolist(), a[4][1:-1].tolist(), strict=True))
+    assert inner and inner <= set(zip(b[3].tolist(), b[4].tolist(), strict=True))
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(2)
     data = rng.integers(0, 2, 2000).astype(np.uint8)
     data[900:1200] = data[:300]
     at = np.arange(0, 1900)
     classes = repeats.window_classes(data, at)
-    exact = {}
+    known = {}
     for k in at.tolist():
-        exact.setdefault(data[k : k + 100].tobytes(), set()).add(int(classes[k]))
-    assert all(len(x) == 1 for x in exact.values()) and len(exact) == len(set(classes.tolist()))
+        known.setdefault(data[k : k + 100].tobytes(), set()).add(int(classes[k]))
+    assert all(len(x) == 1 for x in known.values()) and len(known) == len(set(classes.tolist()))
 
 
 def test_secrets(spark, tables):
