@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql.functions import lit as spark_lit
@@ -250,6 +251,38 @@ def test_edit_similarity(monkeypatch):
     assert edits.similar([(a.encode(), b.encode()) for a, b in pairs]) == close and 0 < sum(close) < len(close)
 
 
+def test_edits_that_words_show_to_be_enough():
+    rng = random.Random(5)
+    for _ in range(1500):
+        a = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(0, 9))]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            if b and rng.random() < 0.5:
+                b.pop(rng.randrange(len(b)))
+            else:
+                b.insert(rng.randint(0, len(b)), rng.choice("abcd"))
+        x, y = " ".join(a), " ".join(b)
+        assert edits.at_most(x, y, 10**6) >= edits_of(x, y)
+    assert edits.at_most("one two three four", "one six three four", 5) == 3
+    assert edits.at_most("one two three", "one new two three", 5) == 4
+    assert edits.at_most("", "", 0) == 0
+
+
+def test_gathered_pairs_are_all_compared(monkeypatch):
+    rng = random.Random(6)
+    texts = [prose(rng, 12).encode() for _ in range(40)]
+    pairs = [(k, k + 1, x, x + b" more" if k % 3 else texts[k - 1]) for k, x in enumerate(texts)]
+    whole = pa.RecordBatch.from_pydict(dict(zip("abxy", map(list, zip(*pairs, strict=True)), strict=True)))
+    want = [k for k, _, x, y in pairs if edits.similar([(x, y)])[0]]
+    for rows, size in ((1 << 15, 8 << 20), (7, 8 << 20), (1 << 15, 500)):
+        monkeypatch.setattr(lines, "TOGETHER", rows)
+        monkeypatch.setattr(lines, "TOGETHER_BYTES", size)
+        for step in (1, 3, 40):
+            batches = (whole.slice(at, step) for at in range(0, 40, step))
+            assert [a for out in lines._verified(batches, 0.8) for a in out.column("a").to_pylist()] == want
+    assert not list(lines._verified(iter([]), 0.8))
+
+
 def test_edit_similarity_of_long_lines():
     rng = random.Random(3)
     words = [prose(rng, 1) + str(k) for k in range(40_000)]
