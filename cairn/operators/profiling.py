@@ -72,18 +72,23 @@ def frequency_histogram(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("keys"), F.sum("n").alias("records"))
 
 
-def chain_depths(edges: DataFrame, max_depth: int = 12) -> DataFrame:
-    """edges: source, target. node and depth, its longest chain of edges, counted up to max_depth where there are cycles. One
-    join a level over the nodes that still grow."""
+def chain_depths(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """edges: source, target. node and depth, its longest chain of edges. Chains are followed to their end, or to max_depth if it is
+    given; where they run in circles there is no end, and without max_depth that is an error. One join a level over the nodes that
+    still grow."""
     edges = cut_lineage(edges.where("source <> target").select("source", "target").distinct())
-    reached = edges.select(F.col("source").alias("node"), F.lit(1).alias("depth")).distinct()
-    for depth in range(2, max_depth + 1):
-        level = reached.where(F.col("depth") == depth - 1)
+    reached = cut_lineage(edges.select(F.col("source").alias("node"), F.lit(1).alias("depth")).distinct())
+    longest, depth = reached.count(), 1  # a chain without a circle has no more edges than there are sources
+    while depth < (longest + 1 if max_depth is None else max_depth):
+        level = reached.where(F.col("depth") == depth)
+        depth += 1
         grown = edges.join(level, F.col("target") == F.col("node"), "left_semi").select(F.col("source").alias("up")).distinct()
         later = reached.join(grown, F.col("node") == F.col("up"), "left").select("node", F.when(F.col("up").isNotNull(), depth).otherwise(F.col("depth")).alias("depth"))
         reached = cut_lineage(later)
-        if not reached.where(F.col("depth") == depth).limit(1).count():
-            break
+        if reached.where(F.col("depth") == depth).isEmpty():
+            return reached
+    if max_depth is None and longest:
+        raise ValueError("edges run in circles: give max_depth")
     return reached
 
 
@@ -113,9 +118,13 @@ def compared(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def lengths(df: DataFrame, column: Column) -> DataFrame:
-    """mean, greatest and 99th percentile (by a mergeable sketch) of a number."""
-    x = df.select(column.alias("x"))
-    return x.agg(F.avg("x").alias("mean_length"), F.max("x").alias("max_length"), F.percentile_approx("x", 0.99, 100_000).alias("p99_length"))
+    """mean, greatest and 99th percentile of a number (the least value that 99 % do not exceed), exact at every size: rows are counted
+    by value first, so what is ordered grows with the different values only."""
+    by_value = df.select(column.alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
+    p99 = F.min(F.when(F.col("below") >= F.ceil(F.col("all") * F.lit(99) / 100), F.col("x")))
+    window = Window.orderBy("x")  # one row a different value
+    ranked = by_value.select("x", "n", F.sum("n").over(window).alias("below"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    return ranked.agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean_length"), F.max("x").alias("max_length"), p99.alias("p99_length"))
 
 
 def reuse(df: DataFrame, story: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import formula, jsons, language, logic, physics, quantity
-from cairn.operators import augment
+from cairn.operators import augment, profiling
 
 
 def one(spark, column, *values):
@@ -174,3 +174,20 @@ def test_augmentation(spark):
     assert augment.anonymised_plain(["Nothing."], ["P(plato)"], "?", "names", 0) is None
     spans = augment.span_matches(spark.createDataFrame([("e", ["The big dog, it barks"], ["bigdog"])], "id string, s array<string>, c array<string>"), "id", "s", "c").collect()
     assert [r.span for r in spans] == ["big dog"]
+
+
+def test_chains_are_followed_to_their_end(spark):
+    long = spark.createDataFrame([(k, k + 1) for k in range(14)] + [(3, 9), (3, 3)], "source int, target int")
+    assert {r.node: r.depth for r in profiling.chain_depths(long).collect()} == {k: 14 - k for k in range(14)}
+    circle = spark.createDataFrame([(1, 2), (2, 1)], "source int, target int")
+    assert {r.depth for r in profiling.chain_depths(circle, 4).collect()} == {4}
+    with pytest.raises(ValueError):
+        profiling.chain_depths(circle)
+    assert not profiling.chain_depths(circle.limit(0)).collect()
+
+
+def test_lengths_are_exact(spark):
+    for n in (1, 99, 100, 101, 250):
+        row = profiling.lengths(spark.range(n), F.col("id")).first()
+        assert (row.max_length, row.p99_length) == (n - 1, -(-n * 99 // 100) - 1) and abs(row.mean_length - (n - 1) / 2) < 1e-9
+    assert tuple(profiling.lengths(spark.range(0), F.col("id")).first()) == (None, None, None)
