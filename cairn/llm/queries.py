@@ -10,9 +10,11 @@ from cairn.llm.langid import op3_language_id
 from cairn.llm.lines import op1_line_dedup
 from cairn.llm.packing import op9_packing
 from cairn.llm.quality import op7_quality
+from cairn.llm.ranked import SQL as OP13_SQL
+from cairn.llm.ranked import op13_ranked
 from cairn.llm.repeats import op10_repeats
 from cairn.llm.secrets import op4_secrets
 from cairn.llm.simhash import op5_simhash
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ctph, op3_language_id, op4_secrets, op5_simhash, op6_hilbert_shards, op7_quality, op8_decontamination, op9_packing, op10_repeats)}
-SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ctph, op3_language_id, op4_secrets, op5_simhash, op6_hilbert_shards, op7_quality, op8_decontamination, op9_packing, op10_repeats, op13_ranked)}
+SQL: dict[str, str] = {"op8_decontamination": OP8_SQL, "op13_ranked": OP13_SQL}
