@@ -7,8 +7,9 @@ needs the first tier reads no other.
 
 A round scores the items' terms on the tiers it has read. A document's score so far is a lower bound, and with the
 residual bounds of its missing terms an upper one. What a shard has for an item is proven if no document whose score
-is not complete can reach the item's k-th best lower bound over all shards; pairs of shard and item that lack this proof
-fall through to the next round, which reads a tier more. The last tier leaves nothing open, so the result is exact."""
+is not complete can reach the item's k-th best lower bound over all shards; shards with items that lack this proof
+fall through to the next round, which reads a tier more for them. The last tier leaves nothing open, so the result is exact.
+Only bounds and results are shuffled, never postings."""
 
 from __future__ import annotations
 
@@ -29,6 +30,8 @@ from cairn.llm.decontam import words
 
 #: Text bytes of a shard at most (a longer text is a shard of its own), and of the items that are searched for at once.
 SHARD_BYTES, QUERY_BYTES = 4 << 20, 1 << 20
+#: So many open shards are named to the next round's scan; where more are open it reads all, and what is proven ends at the first tier again.
+NAMED = 10_000
 #: The first tiers hold this share of a shard's documents for each term, and LEAST postings at least; the last one holds all the rest.
 SHARES, LEAST = (1 / 64, 1 / 8), 16
 TIERS = len(SHARES) + 1
@@ -98,7 +101,7 @@ def index(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
 
     schema = "shard long, docs array<long>, terms array<binary>, df array<int>, " + ", ".join(f"{c} array<int>" for k in range(TIERS) for c in _tier_names(k))
     # a reader's batch holds a row group at most, so these are small
-    return staged(documents(docs).mapInArrow(build, schema), "tiers", **{"parquet.block.size": str(16 << 20)})
+    return staged(documents(docs).mapInArrow(build, schema), "tiers", **{"parquet.block.size": str(8 << 20)})
 
 
 class Search:
@@ -108,13 +111,13 @@ class Search:
         self.items, self.k = items, k
         self.vocabulary = {t for x in items for t in x}
 
-    def shard(self, row: dict, tiers: int, chosen: list[int], least: dict[int, int]) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+    def shard(self, row: dict, tiers: int, least: dict[int, int]) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
         """(item, proven, places, scores): all documents that can be among the k best if proven, else the k best lower bounds."""
         at = {t: p for p, t in enumerate(row["terms"]) if t in self.vocabulary}
         ends = [row[f"ends_{k}"] for k in range(tiers)]
         starts = [np.concatenate(([0], x[:-1])) for x in ends]
-        for i in chosen:
-            own = [(at[t], w) for t, w in self.items[i].items() if t in at and w > 0]
+        for i, item in enumerate(self.items):
+            own = [(at[t], w) for t, w in item.items() if t in at and w > 0]
             if not own:
                 continue
             place, weight = np.array([p for p, _ in own]), np.array([w for _, w in own], np.int64)
@@ -140,8 +143,8 @@ class Search:
                 yield i, False, best, score[best]
 
 
-#: kind 0: a document and its score, 1: a lower bound of an open pair, 2: the shard's open items.
-_FOUND = "kind int, item int, shard long, doc_id long, score long, open array<int>"
+#: kind 0: a document of a proven shard and its score, 1: a lower bound from an open one, 2: an open shard.
+_FOUND = "kind int, item int, shard long, doc_id long, score long"
 
 
 def _round(rows: DataFrame, tiers: int, search, least: dict[int, int], k: int) -> DataFrame:
@@ -150,26 +153,26 @@ def _round(rows: DataFrame, tiers: int, search, least: dict[int, int], k: int) -
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {c: batch.column(c)[r] for c in batch.schema.names}
-                name, chosen = row["shard"].as_py(), row["open"].as_py() if "open" in row else range(len(asked.items))
-                row = {c: v.as_py() if c == "terms" else v.values.to_numpy(zero_copy_only=False) if c != "docs" else v.as_py() for c, v in row.items() if c not in ("shard", "open")}
-                out, left = [], []
-                for i, proven, places, scores in asked.shard(row, tiers, chosen, least):
-                    if proven:
+                name = row.pop("shard").as_py()
+                row = {c: v.as_py() if c in ("docs", "terms") else v.values.to_numpy(zero_copy_only=False) for c, v in row.items()}
+                found = list(asked.shard(row, tiers, least))
+                if all(proven for _, proven, _, _ in found):
+                    out = []
+                    for i, _, places, scores in found:
                         best = heapq.nsmallest(k, zip((-scores).tolist(), [(row["docs"][p] is None, row["docs"][p] or 0) for p in places.tolist()], strict=True))
-                        out += [(0, i, None, None if d[0] else d[1], -s, None) for s, d in best]
-                    else:
-                        left.append(i)
+                        out += [(0, i, None, None if d[0] else d[1], -s) for s, d in best]
+                    yield _batch(out)
+                else:
+                    for i, _, _, scores in found:
                         bounds[i] = heapq.nlargest(k, [*bounds.get(i, ()), *scores.tolist()])
-                if left:
-                    out.append((2, None, name, None, None, left))
-                yield _batch(out)
-        yield _batch([(1, i, None, None, s, None) for i, x in bounds.items() for s in x])
+                    yield _batch([(2, None, name, None, None)])
+        yield _batch([(1, i, None, None, s) for i, x in bounds.items() for s in x])
 
     return rows.mapInArrow(answer, _FOUND)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"kind": pa.int32(), "item": pa.int32(), "shard": pa.int64(), "doc_id": pa.int64(), "score": pa.int64(), "open": pa.list_(pa.int32())}
+    kinds = {"kind": pa.int32(), "item": pa.int32(), "shard": pa.int64(), "doc_id": pa.int64(), "score": pa.int64()}
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
 
@@ -190,14 +193,15 @@ def _search(tiers: DataFrame, items: list[str], n_docs: int, k: int) -> DataFram
     search, least, exact, left = spark.sparkContext.broadcast(Search(weighed, k)), {}, None, None
     for round_ in range(TIERS):
         rows = tiers.select("shard", "docs", "terms", *(c for t in range(round_ + 1) for c in _tier_names(t)))
-        rows = rows if left is None else rows.join(left, "shard")
-        found = staged(_round(rows, round_ + 1, search, least, k), "found")
+        found = staged(_round(rows if left is None else rows.where(F.col("shard").isin(left)), round_ + 1, search, least, k), "found")
         proven = found.where("kind = 0").select("item", "doc_id", "score")
-        exact = proven if exact is None else exact.union(proven)
-        left = found.where("kind = 2").select("shard", "open")
-        if round_ + 1 < TIERS:
-            bounds = _best(exact.union(found.where("kind = 1").select("item", "doc_id", "score")), k)
-            least = {r.item: r.score for r in bounds.where(F.col("rank") == k).select("item", "score").toLocalIterator()}
+        exact = proven if left is None else exact.union(proven)
+        left = [r.shard for r in found.where("kind = 2").select("shard").limit(NAMED + 1).toLocalIterator()]
+        if not left:
+            break
+        bounds = _best(exact.union(found.where("kind = 1").select("item", "doc_id", "score")), k)
+        least = {r.item: r.score for r in bounds.where(F.col("rank") == k).select("item", "score").toLocalIterator()}
+        left = left if len(left) <= NAMED else None
     return _best(exact, k).select("item", "rank", "doc_id", "score")
 
 
