@@ -21,7 +21,7 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 MAX_WORDS = 150_000
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write each byte as a letter: printable Latin-1 as itself, others from 256 on."""
     printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     rest = [b for b in range(256) if b not in printable]
@@ -33,7 +33,7 @@ class WordTokenizer:
 
     def __init__(self, path: str) -> None:
         self.whole = Tokenizer.from_file(path)
-        self.tokenize, self.letters = self.whole.model.tokenize, _byte_letters()
+        self.tokenize, self.letters = self.whole.model.tokenize, byte_letters()
         self.pieces, self.old_pieces = {}, {}
         self.known, self.old = {}, {}
 
