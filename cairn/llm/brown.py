@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ready, slices, staged, table
+from cairn.llm.common import least_count, ready, slices, staged, table
 
 CLASSES, CORE, HOT, SWEEPS = 64, 16_384, 262_144, 3
 #: Different words that a task counts before it sends them on, weight of p(c) in a transition, and words that exchange moves one after the other.
@@ -58,16 +58,10 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def numbered(vocabulary: DataFrame, hot: int) -> tuple[dict[bytes, int], np.ndarray, int]:
     """Numbers of the most frequent words (hot at most, and all of one band of counts or none), their counts, and the least count of them."""
-    band = F.floor(F.log2("n") * 8).cast("int")
-    sizes = {r[0]: (r[1], r[2]) for r in vocabulary.groupBy(band).agg(F.count("*"), F.min("n")).collect()}  # 512 rows at most
-    total, least = 0, np.iinfo(np.int64).max
-    for b in sorted(sizes, reverse=True):
-        if total + sizes[b][0] > hot:
-            break
-        total, least = total + sizes[b][0], sizes[b][1]
-    found = vocabulary.where(F.col("n") >= int(least)).toArrow()
+    least, _ = least_count(vocabulary, hot)
+    found = vocabulary.where(F.col("n") >= least).toArrow()
     rows = sorted(zip((-found.column("n").to_numpy()).tolist(), found.column("word").to_pylist(), strict=True))
-    return {w: k for k, (_, w) in enumerate(rows)}, -np.array([n for n, _ in rows], np.int64), int(least)
+    return {w: k for k, (_, w) in enumerate(rows)}, -np.array([n for n, _ in rows], np.int64), least
 
 
 def sequences(docs: DataFrame, numbers) -> DataFrame:
@@ -123,7 +117,7 @@ def exchanged(left: np.ndarray, right: np.ndarray, was: np.ndarray, n: np.ndarra
             rest[:, a] -= before
             np.maximum(rest, 0, out=rest)
         b, c = np.flatnonzero(before), np.flatnonzero(after)
-        rows, columns = rest.sum(1), rest.sum(0)
+        rows, columns = rest.sum(1) + before, rest.sum(0) + after  # its neighbours stay beside it
         gain = (_phi(rest[:, c] + after[c]) - _phi(rest[:, c])).sum(1) + (_phi(rest[b] + before[b, None]) - _phi(rest[b])).sum(0)
         own = rest.diagonal()  # both sides add to this cell
         gain += _phi(own + before + after) - _phi(own + before) - _phi(own + after) + _phi(own)

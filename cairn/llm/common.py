@@ -57,6 +57,19 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_count(counted: DataFrame, most: int) -> tuple[int, bool]:
+    """The least n for which at most `most` rows of counted have that n or more (whole bands of n, so no order is needed), and
+    whether other rows are left."""
+    band = F.floor(F.log2("n") * 8).cast("int")
+    sizes = {r[0]: (r[1], r[2]) for r in counted.groupBy(band).agg(F.count("*"), F.min("n")).collect()}  # 512 rows at most
+    total, least = 0, (1 << 63) - 1
+    for b in sorted(sizes, reverse=True):
+        if total + sizes[b][0] > most:
+            return least, True
+        total, least = total + sizes[b][0], sizes[b][1]
+    return least, False
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
