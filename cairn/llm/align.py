@@ -1,10 +1,11 @@
 """Alignment of two tokenizers' tokens of the same texts, and how often their ids are linked over all texts.
 
 A text is cut at places where both tokenizers cut for certain (before a single space, between a letter and an ASCII sign, around a
-line end), so the alignment of a text is that of its parts in order. A part that a worker has not met is encoded by both, and the
-byte ranges of B's tokens become a static index of sorted ends: a bisection finds the B tokens that each A token overlaps, and an end
-of an A token that no B token spans is a group's end. Links are counted by parts first, then summed over all documents; a second scan
-looks the counts up. Counts of the most frequent id pairs are broadcast, at most HOT of them; documents with rarer ones send these through a join."""
+line end), so the alignment of a text is that of its parts in order. Parts are counted over all documents, and each different one is
+encoded by both: the byte ranges of B's tokens become a static index of sorted ends, a bisection finds the B tokens that each A token
+overlaps, and an end of an A token that no B token spans is a group's end. The links of a part count as often as it occurs.
+A second scan puts the documents together. It gets the most frequent parts, HOT_PARTS at most, and aligns the others again as it
+meets them; counts of the most frequent id pairs are broadcast too, HOT at most, and documents with rarer ones send these through a join."""
 
 from __future__ import annotations
 
@@ -12,7 +13,9 @@ import hashlib
 import os
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +23,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import held, ready, slices, staged, table
+from cairn.llm.common import held, least_count, ready, slices, staged, table
 from cairn.llm.tokens import byte_letters
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Pairs of ids that are broadcast at most (17 bytes each), and parts and subparts that a worker keeps.
-HOT, MAX_PARTS, MAX_SUBPARTS = 1 << 20, 120_000, 100_000
+#: Pairs of ids (17 bytes each) and aligned parts that are broadcast at most, and other parts and subparts that a worker keeps.
+HOT, HOT_PARTS, MAX_PARTS, MAX_SUBPARTS = 1 << 20, 160_000, 60_000, 80_000
+#: Different parts that a task counts before it sends them on.
+FLUSH = 300_000
 #: Letters of which both tokenizers know that they are letters.
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 _ODD = re.compile(r"^ | $|\s \s|  ")
@@ -41,7 +46,7 @@ def parts(text: str) -> list[str]:
 
 def groups(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """a, b: token lengths in bytes over the same bytes. Returns for each group how many A and B tokens end with it or before."""
-    ends = np.cumsum(b).tolist()
+    ends = list(accumulate(b))
     out, at = [], 0
     for k, size in enumerate(a, 1):
         first, at = bisect_right(ends, at), at + size
@@ -90,7 +95,7 @@ class Aligner:
             was_a, was_b = i, j
         return len(a), len(b), ";".join(out), links
 
-    def _sub(self, sub: str):
+    def sub(self, sub: str):
         if sub in self.known:
             return self.known[sub]
         found = self.old[sub] if sub in self.old else self.whole(sub)
@@ -101,20 +106,28 @@ class Aligner:
 
     def part(self, part: str):
         """As whole(), of a part (without its space)."""
-        found = [self._sub(s) for s in _SUBPARTS.split(" " + part)]
+        found = [self.sub(s) for s in _SUBPARTS.split(" " + part)]
         if None in found:
             return None
         return sum(x[0] for x in found), sum(x[1] for x in found), ";".join(x[2] for x in found), [y for x in found for y in x[3]]
 
 
 class Parts:
-    """Numbers for the parts that a task has met, MAX_PARTS at most: -1 for those whose bytes differ."""
+    """Numbers for the parts that a task meets: the given ones first, then MAX_PARTS others at most; -1 for those whose bytes differ."""
 
-    def __init__(self, aligner: Aligner) -> None:
-        self.aligner, self.number, self.strings, self.sizes, self.links = aligner, {}, [], [], []
+    def __init__(self, aligner: Aligner, given: list[tuple] = ()) -> None:
+        self.aligner, self.given = aligner, len(given)
+        self.number = {r[0]: k for k, r in enumerate(given)}
+        self.strings, self.sizes, self.links = ([r[i] for r in given] for i in (1, 2, 3))
 
     def full(self) -> bool:
-        return len(self.strings) >= MAX_PARTS
+        return len(self.strings) >= self.given + MAX_PARTS
+
+    def clear(self) -> None:
+        """Keep only what was given."""
+        self.number = {p: k for p, k in self.number.items() if 0 <= k < self.given}
+        for x in (self.strings, self.sizes, self.links):
+            del x[self.given :]
 
     def of(self, text: str) -> np.ndarray | None:
         """The numbers of a text's parts; None for a text without tokens."""
@@ -129,20 +142,32 @@ class Parts:
         out = np.array(out, np.int64)
         return None if (out < 0).any() else out
 
+    def _sub(self, sub: str) -> tuple[str, tuple, bytes] | None:
+        """Groups, sizes and links of a subpart, which may be a part that is known."""
+        k = self.number.get(sub[1:], -1) if sub[0] == " " else -1
+        if k >= 0:
+            return self.strings[k], self.sizes[k], self.links[k]
+        found = self.aligner.sub(sub)
+        return found and (found[2], (found[0], found[1], len(found[3])), packed(found[3]))
+
     def _met(self, part: str) -> int:
         n = self.number.get(part)
         if n is None:
-            found = self.aligner.part(part)
+            found = [self._sub(s) for s in _SUBPARTS.split(" " + part)]
             n = -1
-            if found:
+            if None not in found:
                 n = len(self.strings)
-                self.strings.append(found[2])
-                self.sizes.append((found[0], found[1], len(found[3])))
-                self.links.append(np.array([a << 32 | b for a, b in found[3]], np.int64).tobytes())
+                self.strings.append(";".join(x[0] for x in found))
+                self.sizes.append(tuple(map(sum, zip(*(x[1] for x in found), strict=True))))
+                self.links.append(b"".join(x[2] for x in found))
             self.number[part] = n
         return n
 
 
+def packed(links: list[tuple[int, int]]) -> bytes:
+    return np.array([a << 32 | b for a, b in links], np.int64).tobytes()
+
+
 def _aligner(a_path: str, b_path: str) -> Aligner:
     kept = held("align")
     if (a_path, b_path) not in kept:
@@ -155,59 +180,66 @@ def _paths(a_path: str | None, b_path: str | None) -> tuple[str, str]:
     return a_path or public_tokenizers.path(A_VOCABULARY), b_path or public_tokenizers.path(B_VOCABULARY)
 
 
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, where = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(where, n, len(keys)).astype(np.int64)
+def counted_parts(docs: DataFrame) -> DataFrame:
+    """part, n over all texts that have tokens, but for those with parts whose bytes differ."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
 
-def counts(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """pair (A id << 32 | B id), n (links of all texts that hold it) and best (no pair of its B id has a higher n)."""
-    paths = _paths(a_path, b_path)
+        def out() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["part", "n"])
+            n.clear()
+            return found
+
+        for batch in slices(batches, "text", 1 << 20):
+            for text in batch.column("text").to_pylist():
+                if text and "▁" not in text:
+                    n.update(parts(text))
+            if len(n) >= FLUSH:
+                yield out()
+        yield out()
+
+    return docs.select("text").mapInArrow(count, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = Parts(_aligner(*paths))
-        keys = n = np.zeros(0, np.int64)
-        times = np.zeros(2 * MAX_PARTS, np.int64)
 
-        def folded() -> tuple[np.ndarray, np.ndarray]:
-            size = [len(x) // 8 for x in met.links]
-            return _summed(np.concatenate((keys, np.frombuffer(b"".join(met.links), np.int64))), np.concatenate((n, np.repeat(times[: len(size)], size))))
+def aligned_parts(counted: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """part, n, groups (null where the bytes differ), n_a, n_b and links (pairs in order)."""
 
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = _aligner(a_path, b_path)
+        for batch in slices(batches, "part", 1 << 20):
+            found = [aligner.part(p) or (None, None, None, None) for p in batch.column("part").to_pylist()]
+            columns = [pa.array([x[2] for x in found], pa.string()), *(pa.array([x[i] for x in found], pa.int32()) for i in (0, 1)), pa.array([None if x[3] is None else [a << 32 | b for a, b in x[3]] for x in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("n"), *columns], ["part", "n", "groups", "n_a", "n_b", "links"])
+
+    return staged(counted.mapInArrow(align, "part string, n long, groups string, n_a int, n_b int, links array<long>"), "parts", compression="zstd")
+
+
+def _links_by_text(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """pair, n by texts, for texts of which some have parts whose bytes differ, so that none of their links count."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Parts(_aligner(a_path, b_path))
         for batch in slices(batches, "text", 1 << 20):
-            for text in batch.column("text").to_pylist():
-                own = met.of(text)
-                if own is not None:
-                    if len(met.strings) > len(times):
-                        times = np.concatenate((times, np.zeros(len(met.strings), np.int64)))
-                    more = np.bincount(own)
-                    times[: len(more)] += more
+            own = [x for x in map(met.of, batch.column("text").to_pylist()) if x is not None]
+            keys, n = np.unique(np.frombuffer(b"".join(met.links[k] for x in own for k in x.tolist()), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["pair", "n"])
             if met.full():
-                keys, n = folded()
-                met, times = Parts(met.aligner), np.zeros(2 * MAX_PARTS, np.int64)
-                if len(keys) >= HOT:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["pair", "n"])
-                    keys = n = np.zeros(0, np.int64)
-        keys, n = folded()
-        for k in range(0, len(keys), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 65536]), pa.array(n[k : k + 65536])], ["pair", "n"])
-
-    found = staged(docs.select("text").mapInArrow(links, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
-    b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b")
-    highest = found.groupBy(b).agg(F.max("n").alias("most"))  # a row for each id of B
-    return staged(found.select("pair", "n", b).join(highest, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "counts")
+                met.clear()
 
+    return docs.select("text").mapInArrow(links, "pair long, n long")
 
-def _hot(counted: DataFrame, hot: int) -> tuple[list, bool]:
-    """The most frequent pairs, hot at most, and whether there are others."""
-    power = F.floor(F.log2("n")).cast("int")
-    sizes = {r[0]: r[1] for r in counted.groupBy(power.alias("p")).agg(F.count("*")).collect()}  # 63 rows at most
-    total, least = 0, 64
-    for p in sorted(sizes, reverse=True):
-        if total + sizes[p] > hot:
-            break
-        total, least = total + sizes[p], p
-    rows = counted.where(power >= least).orderBy("pair").toArrow()
-    return [rows.column(c).to_numpy() for c in ("pair", "n", "best")], total < sum(sizes.values())
+
+def counts(docs: DataFrame, found: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """pair (A id << 32 | B id), n (links of all texts that hold it) and best (no pair of its B id has a higher n). found: aligned_parts()."""
+    if found.where("groups is null").isEmpty():
+        links = found.select(F.explode("links").alias("pair"), "n")
+    else:
+        links = _links_by_text(docs, a_path, b_path)
+    summed = staged(links.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b")
+    highest = summed.groupBy(b).agg(F.max("n").alias("most"))  # a row for each id of B
+    return staged(summed.select("pair", "n", b).join(highest, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "counts")
 
 
 _FOUND = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -215,19 +247,24 @@ _FOUND = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_su
 OWN = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups")
 
 
-def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, hot: int = HOT, with_groups: bool = False) -> DataFrame:
+def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, hot: int = HOT, hot_parts: int = HOT_PARTS, with_groups: bool = False) -> DataFrame:
     """docs' doc_id and n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 (with_groups: and groups, the hashed text) for every
     row of docs. A text that is null, empty, or not what its tokens spell has no tokens."""
     ready(docs.sparkSession)
     docs, paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _paths(a_path, b_path)
-    counted = counts(docs, *paths)
-    table_, others = _hot(counted, hot)
-    table_ = docs.sparkSession.sparkContext.broadcast(table_)
+    found = aligned_parts(counted_parts(docs), *paths)
+    counted = counts(docs, found, *paths)
+    least, others = least_count(counted, hot)
+    rows = counted.where(F.col("n") >= least).orderBy("pair").toArrow()
+    least, _ = least_count(found, hot_parts)
+    most = found.where((F.col("n") >= least) & F.col("groups").isNotNull()).toArrow()
+    given = [(p, g, (a, b, len(x)), np.array(x, np.int64).tobytes()) for p, g, a, b, x in zip(*(most.column(c).to_pylist() for c in ("part", "groups", "n_a", "n_b", "links")), strict=True)]
+    table_ = docs.sparkSession.sparkContext.broadcast(([rows.column(c).to_numpy() for c in ("pair", "n", "best")], given))
     schema = f"doc_id long, {_FOUND}, groups string, others array<long>"
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, n, best = table_.value
-        met, sums = Parts(_aligner(*paths)), np.zeros((0, 5), np.int64)
+        (pairs, n, best), given = table_.value
+        met, sums = Parts(_aligner(*paths), given), np.zeros((0, 5), np.int64)
         rare: dict[int, list[int]] = {}
 
         def known() -> np.ndarray:
@@ -259,8 +296,10 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
             columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (a, b, links, links, top, summed)), pa.array(shas), pa.array(spelled if with_groups else [None] * len(rows), pa.string()), pa.array(left, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *OWN, "others"])
             if met.full():
-                met, sums = Parts(met.aligner), np.zeros((0, 5), np.int64)
-                rare.clear()
+                met.clear()
+                sums = sums[: met.given]
+                for k in [k for k in rare if k >= met.given]:
+                    del rare[k]
 
     out = docs.mapInArrow(look, schema)
     names = ["doc_id", *OWN[: 8 if with_groups else 7]]
