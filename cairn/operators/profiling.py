@@ -4,10 +4,12 @@ Tokens are runs without white space of the lower-cased text unless said otherwis
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.session import cut_lineage
+from cairn.session import cut_lineage, stored
 
 
 def tokens(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -118,7 +120,7 @@ def compared(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def lengths(df: DataFrame, column: Column) -> DataFrame:
-    """mean, greatest and 99th percentile of a number (the least value that 99 % do not exceed), exact at every size: rows are counted
+    """mean, greatest and 99th percentile of a number (the least value that 99 % do not exceed), the true value at every size: rows are counted
     by value first, so what is ordered grows with the different values only."""
     by_value = df.select(column.alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
     p99 = F.min(F.when(F.col("below") >= F.ceil(F.col("all") * F.lit(99) / 100), F.col("x")))
@@ -132,21 +134,45 @@ def reuse(df: DataFrame, story: str) -> DataFrame:
     return df.agg(F.count("*").alias("records"), F.count_distinct(story).alias("stories"), (F.count("*") / F.count_distinct(story)).alias("reuse"))
 
 
-def jaccard_pairs(df: DataFrame, key: str, words: str, least: float = 0.8) -> DataFrame:
-    """a, b, jaccard of rows whose word sets overlap in at least this share, none missed: the rarest words of each set, as many as a
-    pair must share one of, are joined (prefix filter); equal sets are one row before the join and named by their least key."""
+#: Rows of a word and size band that are joined in one piece.
+HOT_WORD = 1 << 13
+
+
+def jaccard_pairs(df: DataFrame, key: str, words: str, least: float = 0.8, hot: int = HOT_WORD) -> DataFrame:
+    """a, b, jaccard of rows whose word sets overlap in at least this share, none missed; equal sets are one row before the join and named by
+    their least key. Words are ordered by how many sets have them, and four filters leave few pairs to compare:
+
+    * prefix: a pair must share one of the rarest words of each, as many as may be missing and one more;
+    * size: sets of a pair lie in the same band of sizes or in neighbouring ones, so the band is part of the join's key;
+    * position: after a shared word, the rest of the shorter remainder must still suffice;
+    * suffix: words in 16 parts of the vocabulary, where a pair shares no more of a part than either has.
+
+    A word that more than `hot` sets of a band have in their prefix is dealt over sub-keys, to which the other side is copied."""
     sets = df.groupBy(F.array_sort(F.array_distinct(words)).alias("w")).agg(F.min(key).alias("k")).where("size(w) > 0")
+    sets = stored(sets.select("k", "w", F.size("w").alias("n")))
     frequency = sets.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
-    spread = sets.select("k", F.size("w").alias("size"), F.explode("w").alias("t")).join(frequency, "t")
     window = Window.partitionBy("k").orderBy("f", "t")
-    prefix_length = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1
-    heads = spread.where("f > 1").withColumn("r", F.row_number().over(window)).where(F.col("r") <= prefix_length).select("k", "size", "t")
-    other = heads.select(F.col("k").alias("b"), F.col("size").alias("sb"), "t")
-    near = heads.select(F.col("k").alias("a"), F.col("size").alias("sa"), "t").join(other, "t").where((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= F.greatest("sa", "sb") * least - 1e-9))
-    pairs = near.select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("k").alias("b"), F.col("w").alias("wb")), "b")
-    score = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
-    return both.select("a", "b", score.alias("jaccard")).where(F.col("jaccard") >= least)
+    spread = sets.select("k", "n", F.explode("w").alias("t")).join(frequency, "t").withColumn("at", F.row_number().over(window))
+    band = F.floor(F.log("n") / (-math.log(least) * 1.0001)).cast("int")
+    heads = stored(spread.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & (F.col("f") > 1)).select("k", "n", "t", "at", band.alias("band")))
+    split = heads.groupBy("t", "band").agg(F.ceil(F.count("*") / hot).cast("int").alias("splits")).where("splits > 1")
+    larger = heads.select(F.col("k").alias("y"), F.col("n").alias("ny"), "t", F.col("at").alias("aty"), "band").join(split, ["t", "band"], "left")
+    larger = larger.withColumn("piece", F.pmod(F.xxhash64("y"), F.coalesce("splits", F.lit(1)))).drop("splits")
+    smaller = heads.select(F.col("k").alias("x"), F.col("n").alias("nx"), "t", F.col("at").alias("atx"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")).join(split, ["t", "band"], "left")
+    smaller = smaller.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("splits", F.lit(1)) - F.lit(1).cast("long")))).drop("splits")
+    needed = F.ceil((F.col("nx") + F.col("ny")) * (least / (1 + least)) - 1e-9)
+    ordered = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    fits = (F.col("nx") >= F.col("ny") * least - 1e-9) & (1 + F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty")) >= needed)
+    pairs = smaller.join(larger, ["t", "band", "piece"]).where(ordered & fits).select("x", "y", "nx", "ny").distinct()
+    part = F.pmod(F.xxhash64("t"), F.lit(16)).cast("int")
+    parts = stored(sets.select("k", F.explode("w").alias("t")).groupBy("k").agg(*[F.count_if(part == k).cast("int").alias(f"p{k}") for k in range(16)]))
+    sides = [parts.toDF(side, *[f"{side}{k}" for k in range(16)]) for side in ("x", "y")]
+    shared = sum((F.least(f"x{k}", f"y{k}") for k in range(1, 16)), F.least("x0", "y0"))
+    pairs = pairs.join(sides[0], "x").join(sides[1], "y").where(shared >= needed).select("x", "y", "nx", "ny")
+    both = pairs.join(sets.select(F.col("k").alias("x"), F.col("w").alias("wx")), "x").join(sets.select(F.col("k").alias("y"), F.col("w").alias("wy")), "y")
+    common = F.size(F.array_intersect("wx", "wy"))
+    score = common / (F.col("nx") + F.col("ny") - common)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), score.alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def metrics(df: DataFrame, rates: dict[str, tuple[Column, Column]]) -> DataFrame:
