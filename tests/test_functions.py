@@ -191,3 +191,56 @@ def test_lengths_are_whole(spark):
         row = profiling.lengths(spark.range(n), F.col("id")).first()
         assert (row.max_length, row.p99_length) == (n - 1, -(-n * 99 // 100) - 1) and abs(row.mean_length - (n - 1) / 2) < 1e-9
     assert tuple(profiling.lengths(spark.range(0), F.col("id")).first()) == (None, None, None)
+
+
+@pytest.mark.parametrize(
+    ("premises", "conclusion", "status"),
+    [
+        (["P(father(a))", "ForAll(x, P(x) -> Q(x))"], "Q(father(a))", "unsat"),
+        (["ForAll(x, P(x) -> P(next(x)))", "P(a)"], "P(next(next(a)))", "unsat"),
+        (["ForAll(x, P(x))", "a > 3"], "P(a)", "unsat"),
+        (["ForAll(x, (P(x) -> Q(x)))", "P(n)", "n = 5"], "Q(n)", "unsat"),
+        (["ForAll(x, P(x) -> Q(x))", "P(father(a))"], "Q(a)", "unknown"),
+        (["P(father(a))"], "P(a)", "sat"),
+    ],
+)
+def test_terms_that_quantifiers_run_over(premises, conclusion, status):
+    parsed, numeric = logic.parse_set([*premises, conclusion])
+    assert logic.Prover(numeric).refute([*parsed[:-1], ("not", parsed[-1])])[0] == status
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_prover_against_every_model(seed):
+    """Formulas over three individuals and two predicates, against all their truth tables."""
+    import itertools
+    import random
+
+    rng = random.Random(seed)
+
+    def formula(depth, bound):
+        kind = rng.choice(["atom", "not", "and", "or", "->", "all"] if depth else ["atom"])
+        if kind == "atom":
+            return f"{rng.choice('PQ')}({rng.choice(['a', 'b', 'c', *bound])})"
+        if kind == "not":
+            return f"NOT ({formula(depth - 1, bound)})"
+        if kind == "all":
+            name = "xyz"[len(bound)]
+            return f"ForAll({name}, {formula(depth - 1, [*bound, name])})" if len(bound) < 3 else formula(0, bound)
+        return f"(({formula(depth - 1, bound)}) {kind.upper()} ({formula(depth - 1, bound)}))"
+
+    def holds(f, model, names):
+        if f[0] == "pred":
+            return model[f[1], names.get(f[2][0][1], f[2][0][1])]
+        if f[0] == "all":
+            return all(holds(f[2], model, names | {f[1]: c}) for c in "abc")
+        if f[0] == "not":
+            return not holds(f[1], model, names)
+        a, b = (holds(x, model, names) for x in f[1:])
+        return {"and": a and b, "or": a or b, "imp": not a or b}[f[0]]
+
+    texts = [formula(3, []) for _ in range(4)] + ["(P(a)) OR (NOT P(a))", "(P(b)) OR (NOT P(b))", "(P(c)) OR (NOT P(c))"]
+    parsed, numeric = logic.parse_set(texts)
+    keys = [(p, c) for p in "PQ" for c in "abc"]
+    models = (dict(zip(keys, v, strict=True)) for v in itertools.product((False, True), repeat=6))
+    possible = any(all(holds(f, m, {}) for f in parsed) for m in models)
+    assert logic.Prover(numeric).refute(parsed)[0] == ("sat" if possible else "unsat")
