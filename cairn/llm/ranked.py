@@ -8,7 +8,7 @@ needs the first tier reads no other.
 A round scores the items' terms on the tiers it has read. A document's score so far is a lower bound, and with the
 residual bounds of its missing terms an upper one. What a shard has for an item is proven if no document whose score
 is not complete can reach the item's k-th best lower bound over all shards; shards with items that lack this proof
-fall through to the next round, which reads a tier more for them. The last tier leaves nothing open, so the result is exact.
+fall through to the next round, which reads a tier more for them. The last tier leaves nothing open, so no result is missed.
 Only bounds and results are shuffled, never postings."""
 
 from __future__ import annotations
@@ -190,19 +190,19 @@ def _search(tiers: DataFrame, items: list[str], n_docs: int, k: int) -> DataFram
     df = tiers.select(F.explode(F.arrays_zip("terms", "df")).alias("p")).select(F.col("p.terms").alias("term"), F.col("p.df").alias("df"))
     df = {bytes(r.term): r.df for r in df.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator()}
     weighed = [{w: q * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) for w, q in c.items() if w in df} for c in counted]
-    search, least, exact, left = spark.sparkContext.broadcast(Search(weighed, k)), {}, None, None
+    search, least, sure, left = spark.sparkContext.broadcast(Search(weighed, k)), {}, None, None
     for round_ in range(TIERS):
         rows = tiers.select("shard", "docs", "terms", *(c for t in range(round_ + 1) for c in _tier_names(t)))
         found = staged(_round(rows if left is None else rows.where(F.col("shard").isin(left)), round_ + 1, search, least, k), "found")
         proven = found.where("kind = 0").select("item", "doc_id", "score")
-        exact = proven if left is None else exact.union(proven)
+        sure = proven if left is None else sure.union(proven)
         left = [r.shard for r in found.where("kind = 2").select("shard").limit(NAMED + 1).toLocalIterator()]
         if not left:
             break
-        bounds = _best(exact.union(found.where("kind = 1").select("item", "doc_id", "score")), k)
+        bounds = _best(sure.union(found.where("kind = 1").select("item", "doc_id", "score")), k)
         least = {r.item: r.score for r in bounds.where(F.col("rank") == k).select("item", "score").toLocalIterator()}
         left = left if len(left) <= NAMED else None
-    return _best(exact, k).select("item", "rank", "doc_id", "score")
+    return _best(sure, k).select("item", "rank", "doc_id", "score")
 
 
 def ranked(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
