@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import uuid
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -20,6 +21,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ from cairn.llm.tokens import byte_letters
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs of ids (17 bytes each) and aligned parts that are broadcast at most, and other parts and subparts that a worker keeps.
-HOT, HOT_PARTS, MAX_PARTS, MAX_SUBPARTS = 1 << 20, 160_000, 60_000, 80_000
+HOT, HOT_PARTS, MAX_PARTS, MAX_SUBPARTS = 1 << 20, 400_000, 60_000, 80_000
 #: Different parts that a task counts before it sends them on.
 FLUSH = 300_000
 #: Letters of which both tokenizers know that they are letters.
@@ -71,6 +73,7 @@ class Aligner:
         byte = {c: b for b, c in self.letters.items()}
         self.a_bytes = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in map(self.b.id_to_piece, range(self.b.get_piece_size()))]
+        self.a_names, self.b_names = [str(i) for i in range(max(self.a_bytes) + 1)], [str(i) for i in range(len(self.b_bytes))]
         self.known, self.old = {}, {}
 
     def _ids(self, sub: str) -> tuple[list[int], list[int]]:
@@ -89,8 +92,9 @@ class Aligner:
         if not b"".join(a_bytes) == b"".join(b_bytes) == text.encode():
             return None
         out, links, was_a, was_b = [], [], 0, 0
+        a_names, b_names = [self.a_names[i] for i in a], [self.b_names[i] for i in b]
         for i, j in groups(list(map(len, a_bytes)), list(map(len, b_bytes))):
-            out.append(f"{','.join(map(str, a[was_a:i]))}|{','.join(map(str, b[was_b:j]))}")
+            out.append(f"{','.join(a_names[was_a:i])}|{','.join(b_names[was_b:j])}")
             links.append((a[i - 1], b[j - 1]))
             was_a, was_b = i, j
         return len(a), len(b), ";".join(out), links
@@ -125,7 +129,8 @@ class Parts:
 
     def clear(self) -> None:
         """Keep only what was given."""
-        self.number = {p: k for p, k in self.number.items() if 0 <= k < self.given}
+        if len(self.strings) > self.given or self.given < len(self.number):
+            self.number = {p: k for p, k in self.number.items() if 0 <= k < self.given}
         for x in (self.strings, self.sizes, self.links):
             del x[self.given :]
 
@@ -176,6 +181,16 @@ def _aligner(a_path: str, b_path: str) -> Aligner:
     return kept[a_path, b_path]
 
 
+def _given(name: str, given: Broadcast, paths: tuple[str, str]) -> Parts:
+    """The worker's table of the broadcast parts, made once for all its tasks."""
+    aligner, kept = _aligner(*paths), held("align")
+    if kept.get("name") != name:
+        kept["parts"] = Parts(aligner, given.value)
+        kept["name"] = name
+    kept["parts"].clear()
+    return kept["parts"]
+
+
 def _paths(a_path: str | None, b_path: str | None) -> tuple[str, str]:
     return a_path or public_tokenizers.path(A_VOCABULARY), b_path or public_tokenizers.path(B_VOCABULARY)
 
@@ -259,12 +274,13 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
     least, _ = least_count(found, hot_parts)
     most = found.where((F.col("n") >= least) & F.col("groups").isNotNull()).toArrow()
     given = [(p, g, (a, b, len(x)), np.array(x, np.int64).tobytes()) for p, g, a, b, x in zip(*(most.column(c).to_pylist() for c in ("part", "groups", "n_a", "n_b", "links")), strict=True)]
-    table_ = docs.sparkSession.sparkContext.broadcast(([rows.column(c).to_numpy() for c in ("pair", "n", "best")], given))
+    sc, name = docs.sparkSession.sparkContext, uuid.uuid4().hex
+    hot_pairs, hot_given = sc.broadcast([rows.column(c).to_numpy() for c in ("pair", "n", "best")]), sc.broadcast(given)
     schema = f"doc_id long, {_FOUND}, groups string, others array<long>"
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (pairs, n, best), given = table_.value
-        met, sums = Parts(_aligner(*paths), given), np.zeros((0, 5), np.int64)
+        pairs, n, best = hot_pairs.value
+        met, sums = _given(name, hot_given, paths), np.zeros((0, 5), np.int64)
         rare: dict[int, list[int]] = {}
 
         def known() -> np.ndarray:
