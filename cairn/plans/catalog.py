@@ -511,4 +511,4 @@ def open_questions(t):
     return rows.join(decisions.open_ended(cases).select("id", "answer"), "id").select("c_custkey", "answer")
 
 
-from cairn.plans import relations, texts  # noqa: E402, F401  register further queries
+from cairn.plans import relations, scores, texts  # noqa: E402, F401  register further queries
