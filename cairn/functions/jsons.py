@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cairn.session import arrow_udf
-
 
 def strict(c: Column) -> Column:
     """The text as a variant; null if it is no JSON."""
     return F.try_parse_json(c)
 
 
+def parses(c: Column) -> Column:
+    """Whether the text is one value and nothing after it, which a parse alone would pass over."""
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"value": '), c, F.lit(', "end": 0}'))), "$.end", "int").isNotNull()
+
+
 def without_fence(c: Column) -> Column:
     """The text without a surrounding Markdown fence."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"(?s)^```(?:json)?\s*", ""), r"\s*```$", ""))
@@ -68,33 +69,30 @@ def usage(c: Column) -> Column:
     return F.struct(get("prompt_tokens", "input_tokens").alias("input"), get("completion_tokens", "output_tokens").alias("output"))
 
 
-def repaired_plain(text: str | None) -> str | None:
-    """The first object or array of a reply, with open strings and brackets closed where it was cut; null if there is none."""
-    text = text or ""
-    at = min((k for k in (text.find("{"), text.find("[")) if k >= 0), default=-1)
-    if at < 0:
-        return None
-    stack, quoted, escaped = [], False, False
-    for k, c in enumerate(text[at:], at):
-        if quoted:
-            quoted, escaped = escaped or c != '"', not escaped and c == "\\"
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]" and stack:
-            stack.pop()
-            if not stack:
-                return text[at : k + 1]
-    body = (text[at:].rstrip("\\") if escaped else text[at:]) + '"' * quoted
-    closing = "".join(reversed(stack))
-    for candidate in (body, body.rstrip().rstrip(","), body.rstrip().rstrip(":") + ": null" if body.rstrip().endswith(":") else body, body.rsplit(",", 1)[0]):
-        try:
-            json.loads(candidate + closing)
-            return candidate + closing
-        except ValueError:
-            continue
-    return body + closing
-
-
-repaired = arrow_udf("string")(repaired_plain)
+def repaired(c: Column) -> Column:
+    """The first object or array of a reply, with open strings and brackets closed where it was cut; null if there is none.
+
+    One fold over the letters: the brackets still to be closed are a text that grows and shrinks at its start. Where nothing closes the first bracket, the
+    first of these that parses is taken: the text as it is, without a last comma, with null after a last colon, without its last entry."""
+    body = F.regexp_extract(c, r"(?s)[{\[].*", 0)
+    start = F.struct(F.lit("").alias("open"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(s: Column, x: Column) -> Column:
+        outside, rest = ~s["quoted"], F.substring(s["open"], 2, 1 << 30)
+        closes = outside & x.isin("}", "]")
+        quoted = F.when(outside, x == '"').otherwise(s["escaped"] | (x != '"'))
+        left = F.when(outside & (x == "{"), F.concat(F.lit("}"), s["open"])).when(outside & (x == "["), F.concat(F.lit("]"), s["open"])).when(closes, rest).otherwise(s["open"])
+        moved = F.struct(
+            left.alias("open"), quoted.alias("quoted"), (s["quoted"] & ~s["escaped"] & (x == "\\")).alias("escaped"), (s["at"] + 1).alias("at"),
+            F.when(closes & (rest == ""), s["at"] + 1).otherwise(0).alias("end"),
+        )
+        return F.when(s["end"] > 0, s).otherwise(moved)
+
+    def closed(s: Column) -> Column:
+        cut = F.concat(F.when(s["escaped"], F.regexp_replace(body, r"\\+$", "")).otherwise(body), F.when(s["quoted"], '"').otherwise(""))
+        bare = F.rtrim(F.regexp_replace(cut, r"\s+$", ""))
+        tries = [cut, F.regexp_replace(bare, ",+$", ""), F.when(bare.endswith(":"), F.concat(F.regexp_replace(bare, ":+$", ""), F.lit(": null"))), F.regexp_replace(cut, "(?s),[^,]*$", "")]
+        whole = [F.concat(t, s["open"]) for t in tries]
+        return F.when(s["end"] > 0, F.substring(body, F.lit(1), s["end"])).otherwise(F.coalesce(*[F.when(parses(t), t) for t in whole], whole[0]))
+
+    return F.when(body != "", F.aggregate(F.split(body, ""), start, step, closed))

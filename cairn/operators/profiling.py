@@ -51,6 +51,26 @@ def cooccurrence(df: DataFrame, group: str, item: str) -> DataFrame:
     return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
 
 
+def top_pairs(df: DataFrame, group: str, item: str, k: int = 100, first: int = 64) -> DataFrame:
+    """a, b, n: the k pairs of different items, a < b, that most groups hold (most first, then by a and b). Repeats in a group count once; null groups
+    and items count for nothing.
+
+    A pair is in no more groups than either of its items. The k-th best pair among the `first` most frequent items is a bound that every pair wanted reaches, so only
+    items in as many groups can be in one; pairs are counted of these only. They leave a group's array one by one."""
+    rows = stored(df.select(F.col(group).alias("g"), F.col(item).alias("i")).dropna().distinct())
+    items = stored(rows.groupBy("i").agg(F.count("*").alias("n")))
+
+    def counted(kept: DataFrame) -> DataFrame:
+        sets = rows.join(kept.select("i"), "i").groupBy("g").agg(F.sort_array(F.collect_list("i")).alias("s"))
+        each = sets.select(F.posexplode("s").alias("at", "a"), "s").select("a", F.explode(F.slice("s", F.col("at") + 2, F.size("s"))).alias("b"))
+        return each.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+    order = [F.desc("n"), "a", "b"]
+    best = counted(items.orderBy(F.desc("n"), "i").limit(first)).orderBy(*order).limit(k).select("n").collect()  # k counts at most
+    bound = best[-1].n if len(best) == k else 1
+    return counted(items.where(F.col("n") >= bound)).orderBy(*order).limit(k)
+
+
 def transitions(df: DataFrame, group: list[str], order: list[str], item: str) -> DataFrame:
     """source, target, n of adjacent items."""
     window = Window.partitionBy(*group).orderBy(*order)

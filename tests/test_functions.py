@@ -1,6 +1,7 @@
 """Functions against documented cases and plain Python."""
 
 import itertools
+import json
 import random
 
 import pytest
@@ -161,7 +162,50 @@ def test_json(spark):
     r = one(spark, jsons.router_fields(F.col("a")), '{"domains": ["A", "B"], "multi_state": true}')
     assert (r.domains, r.multi_state) == (["A", "B"], True)
     assert one(spark, jsons.int_list(F.col("a")), "keep [1, 3, 4] only") == [1, 3, 4]
-    assert [jsons.repaired_plain(t) for t in ('{"a": [1, 2', 'x {"a": "b', "none", '{"a": 1, "b":', '{"a": 1} tail')] == ['{"a": [1, 2]}', '{"a": "b"}', None, '{"a": 1, "b": null}', '{"a": 1}']
+    for text, want in {'{"a": [1, 2': '{"a": [1, 2]}', 'x {"a": "b': '{"a": "b"}', "none": None, '{"a": 1, "b":': '{"a": 1, "b": null}', '{"a": 1} tail': '{"a": 1}', '["q\\': '["q"]', '{"a": 1, "b': '{"a": 1}', "[1, ": "[1]"}.items():
+        assert one(spark, jsons.repaired(F.col("a")), text) == want
+    assert one(spark, jsons.repaired(F.col("a")), None) is None
+
+
+def test_cut_json_is_repaired(spark):
+    """Every prefix of nested values, with brackets, quotes and backslashes in its texts, against the rule in plain Python."""
+    rng = random.Random(3)
+
+    def value(depth):
+        kind = rng.randrange(5 if depth < 4 else 2)
+        if kind == 0:
+            return rng.choice([1, -2.5, True, None, 1e9])
+        if kind == 1:
+            return "".join(rng.choice('ab"\\{}[],:é𝄞 ') for _ in range(rng.randint(0, 6)))
+        return [value(depth + 1) for _ in range(rng.randint(0, 3))] if kind < 4 else {f"k{k}": value(depth + 1) for k in range(rng.randint(0, 3))}
+
+    whole = [json.dumps([value(0), value(0)], ensure_ascii=False) for _ in range(60)]
+    cuts = [(x, x[:k]) for x in whole for k in range(1, len(x) + 1)]
+    found = spark.createDataFrame(cuts, "whole string, a string").select("whole", "a", jsons.repaired(F.col("a")).alias("r")).collect()
+    assert all(json.loads(r.r) == json.loads(r.whole) for r in found if r.a == r.whole)
+    for r in found:
+        opened, quoted, escaped = [], False, False
+        for c in r.a:
+            if quoted:
+                quoted, escaped = escaped or c != '"', not escaped and c == "\\"
+            elif c == '"':
+                quoted = True
+            elif c in "{[":
+                opened.append("}" if c == "{" else "]")
+            elif c in "}]":
+                opened.pop()
+        closing, text = "".join(reversed(opened)), (r.a.rstrip("\\") if escaped else r.a) + '"' * quoted
+        bare = text.rstrip()
+        tries = [text, bare.rstrip(","), bare.rstrip(":") + ": null" if bare.endswith(":") else text, text.rsplit(",", 1)[0]]
+        assert r.r == next((t + closing for t in tries if _parses(t + closing)), text + closing), r.a
+
+
+def _parses(text):
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
 
 
 def test_augmentation(spark):

@@ -97,3 +97,26 @@ def test_no_word_of_many_sets_in_one_piece(spark):
     rows = [(k, ["a", *(f"{k % 40}-{j}" for j in range(4)), *([] if k < 40 else ["z"])]) for k in range(80)]
     got = profiling.jaccard_pairs(spark.createDataFrame(rows, "k long, w array<string>").withColumn("extra", F.lit(1)), "k", "w", 0.8, 4)
     assert {(r.a, r.b) for r in got.collect()} == {(k, k + 40) for k in range(40)}
+
+
+@pytest.mark.parametrize("flat", [True, False])
+def test_top_pairs(spark, flat):
+    """Against counts of all pairs, with items of equal and of very different frequency, repeats, nulls and a group that holds everything."""
+    rng = random.Random(19)
+    rows = [(g, f"w{int(rng.random() * 150 if flat else 150 * rng.random() ** 4)}") for g in range(120) for _ in range(rng.randint(1, 25))]
+    rows += [(500, f"w{k}") for k in range(150)] + [(None, "w1"), (3, None)]
+    held = {}
+    for g, w in rows:
+        if g is not None and w is not None:
+            held.setdefault(g, set()).add(w)
+    counts = {}
+    for words in held.values():
+        for a in words:
+            for b in words:
+                if a < b:
+                    counts[a, b] = counts.get((a, b), 0) + 1
+    want = sorted(((a, b, n) for (a, b), n in counts.items()), key=lambda r: (-r[2], r[0], r[1]))
+    df = spark.createDataFrame(rows, "g long, w string")
+    assert [tuple(r) for r in profiling.top_pairs(df, "g", "w", 30, first=8).collect()] == want[:30]
+    assert [tuple(r) for r in profiling.top_pairs(df, "g", "w", 30, first=40).collect()] == want[:30]
+    assert profiling.top_pairs(df.limit(0), "g", "w").collect() == []
