@@ -167,6 +167,15 @@ def test_json(spark):
     assert one(spark, jsons.repaired(F.col("a")), None) is None
 
 
+def test_powers_and_numbers_as_text(spark):
+    for text, want in {"3*10^5 V": "3e5 V", "10^{-3}": "1e-3", "2.5 × 10⁻³ m": "2.5e-3 m", "4 . 10^2": "4e2", "3 10^5": "3 1e5", "x10^3": "x10^3"}.items():
+        assert one(spark, physics.scientific_text(F.col("a")), text) == want
+    assert one(spark, physics.equation_spacing(F.col("a")), "a = 3 - 2 * b - c") == "a=3-2*b - c"
+    assert [physics.format_scientific_plain(x) for x in (0.0, 12.5, 1e-4, 1e-5, -2.5e20, 123456789012345.0)] == ["0", "12.5", "0.0001", "1e-5", "-2.5e20", "123456789012345"]
+    assert [physics.coefficient_plain(x) for x in (0.0, 2.5, 1.5e-6, 1e16, -1200.0)] == ["0", "2.5", "0.0000015", "10000000000000000", "-1200"]
+    assert formula.split_name_plain("isVeryGood_student2HTTPServer") == ["is", "Very", "Good", "student2", "HTTP", "Server"]
+
+
 def test_cut_json_is_repaired(spark):
     """Every prefix of nested values, with brackets, quotes and backslashes in its texts, against the rule in plain Python."""
     rng = random.Random(3)
