@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import documents, partitions, slices, staged, table
+from cairn.llm.common import documents, partitions, release_shuffles, slices, staged, table
 from cairn.llm.graph import components
 
 RADIUS = 3
@@ -26,6 +26,10 @@ SHINGLE = 3
 SHARD, MAX_SHARDS, SAMPLE = 2048, 4096, 16384
 #: The pipeline's stage: words of a shingle, least Jaccard similarity, and bands of min-hashes; by calculation a pair at 0.8 is missed once in 4,600, (1 - 0.8^4)^16.
 WORDS, SIMILAR, BAND, BANDS = 5, 0.8, 4, 16
+#: Bands with at most so many texts become pairs, each compared once however many bands it shares; of larger ones the texts meet and their groups are spanned.
+PAIRED = 32
+#: Words of the bit filter for texts with a candidate: 4 MB are broadcast. Where it fills up, more texts are shuffled and the result is the same.
+FILTER_WORDS = 1 << 19
 _ODD = np.random.default_rng(4_001).integers(1, 1 << 63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -233,17 +237,24 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """value, node of every text with a word in every band: BAND min-hashes of its shingles together."""
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, node, fp and bands of every text: the fingerprint of its shingles, and for each band BAND min-hashes together (none without a word)."""
     for batch in slices(batches, "text"):
-        values, nodes = [], []
-        for text, node in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist(), strict=True):
+        fps, bands = [], []
+        for text in batch.column("text").to_pylist():
             x = shingles(text)
-            if len(x):
-                least = np.array([((x ^ (x >> np.uint64(31))) * m).min() for m in _ODD])
-                values += [xxhash.xxh64_intdigest(least[k : k + BAND].tobytes(), k) for k in range(0, len(least), BAND)]
-                nodes += [node] * BANDS
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(values, np.uint64).view(np.int64)), pa.array(nodes, pa.int64())], ["value", "node"])
+            ones = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            fps.append(np.packbits(2 * ones > len(x)).view(">i8")[0])
+            least = np.array([((x ^ (x >> np.uint64(31))) * m).min() for m in _ODD]) if len(x) else np.zeros(0, np.uint64)
+            bands.append(np.array([xxhash.xxh64_intdigest(least[k : k + BAND].tobytes(), k) for k in range(0, len(least), BAND)], np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(np.array(fps, np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "fp", "bands"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b of the pairs of texts x, y whose Jaccard similarity is SIMILAR or more."""
+    for batch in slices(batches, "x"):
+        same = [jaccard(shingles(x), shingles(y)) >= SIMILAR for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
 
 def _similar(group: pa.Table) -> pa.Table:
@@ -259,18 +270,58 @@ def _similar(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(at[:, 0]), "b": pa.array(at[:, 1])})
 
 
+def _texts(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text, once each, of the nodes among wanted. A bit filter of 4 MB leaves most other texts where they are."""
+    bit = F.pmod("node", F.lit(64 * FILTER_WORDS))
+    bits = wanted.groupBy(F.floor(bit / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {64 * FILTER_WORDS}) % 64 as int))")).alias("bits")).toArrow()
+    words = np.zeros(FILTER_WORDS, np.uint64)
+    words[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+    sent = found.sparkSession.sparkContext.broadcast(words)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value
+        for batch in batches:
+            at = batch.column("node").to_numpy() % (64 * FILTER_WORDS)
+            yield batch.filter(pa.array((words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+    return found.select("node", "text").mapInArrow(pick, "node long, text string").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def candidates(nodes: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs a, b of nodes to compare, a < b, and value, node of bands with over PAIRED nodes, whose texts meet instead.
+
+    nodes: node, fp. The vantage-point trees give links that span all fingerprints within RADIUS bits; they find some of the near duplicates
+    only, and the bands of met (value, node) the others."""
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    apart = links(prints.select("fp")).join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select("x", "y")
+    equal = nodes.join(prints, "fp").select(F.col("least").alias("x"), F.col("node").alias("y"))
+    sizes = met.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    groups = met.join(sizes, "value")
+    few = groups.where(F.col("n") <= PAIRED).groupBy("value").agg(F.array_sort(F.collect_list("node")).alias("s")).select("s").distinct()
+    each = few.select(F.posexplode("s").alias("at", "x"), "s").select("x", F.explode(F.slice("s", F.col("at") + 2, F.size("s"))).alias("y"))
+    pairs = apart.union(equal).union(each).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs, groups.where(F.col("n") > PAIRED).select("value", "node")
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with one document of each near-duplicate group: the one with the smallest doc_id (rows that repeat
-    it stay). Near duplicates have a Jaccard similarity of SIMILAR or more over shingles of WORDS words; only texts
-    that share BAND min-hashes in one of BANDS bands are compared. Null and empty texts are equal."""
+    it stay). Near duplicates have a Jaccard similarity of SIMILAR or more over shingles of WORDS words; texts are compared whose
+    fingerprints the vantage-point trees link, or that share BAND min-hashes in one of BANDS bands. Null and empty texts are equal."""
+    spark = docs.sparkSession
+    release_shuffles(spark)
     found = documents(docs).withColumn("node", F.xxhash64("text"))
-    texts = staged(found.groupBy("node").agg(F.first("text").alias("text"), F.min("doc_id").alias("first")), "texts")
-    met = staged(texts.select("text", "node").mapInArrow(_band_rows, "value long, node long"), "bands")
-    shared = met.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-    together = met.join(shared, "value").join(texts.select("node", "text"), "node")
-    comps = staged(components(together.groupBy("value").applyInArrow(_similar, "a long, b long")), "components").toDF("member", "root")
-    named = texts.join(comps, F.col("node") == F.col("member"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    sketches = staged(found.mapInArrow(_sketches, "doc_id long, node long, fp long, bands array<long>"), "sketches")
+    nodes = staged(sketches.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    pairs, many = (staged(x, "candidates") for x in candidates(nodes.select("node", "fp"), nodes.select(F.explode("bands").alias("value"), "node")))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")).distinct()
+    texts = staged(_texts(found, wanted), "texts")
+    release_shuffles(spark)
+    alike = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").mapInArrow(_alike, "a long, b long")
+    together = many.join(texts, "node").groupBy("value").applyInArrow(_similar, "a long, b long")
+    comps = staged(components(alike.union(together)), "components").toDF("member", "root")
+    named = nodes.join(comps, F.col("node") == F.col("member"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("least"))
-    firsts = found.select("doc_id", "node").join(named.select("node", "root"), "node").join(least, "root")
-    kept = firsts.where("doc_id = least").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    firsts = sketches.select("doc_id", "node").join(named.select("node", "root"), "node").join(least, "root")
+    gone = staged(firsts.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("least")).alias("kept")).where("not kept").select("doc_id"), "gone")
+    release_shuffles(spark)
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

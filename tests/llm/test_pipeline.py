@@ -1,7 +1,9 @@
 import random
+import time
 
 import corpus_pipeline
-from cairn.llm import simhash
+from cairn.llm import common, simhash
+from pyspark.sql import functions as F
 
 from .test_operators import prose
 
@@ -49,3 +51,32 @@ def test_near_dedup_at_five_word_shingles(spark):
         x, y, z = (simhash.shingles(" ".join(t)) for t in (a, b, c))
         assert simhash.jaccard(x, y) >= 0.8 > simhash.jaccard(x, z)
     assert {r.doc_id for r in simhash.keep_first(docs).collect()} == {*range(40), *range(80, 120)}
+
+
+def test_near_dedup_compares_what_trees_link(spark):
+    """The vantage-point trees alone give the pairs of close fingerprints (no bands here), once each and beside those of bands; large bands stay whole."""
+    rng = random.Random(5)
+    fps = [rng.getrandbits(62) for _ in range(60)]
+    nodes = spark.createDataFrame([*((k, x) for k, x in enumerate(fps)), *((100 + k, x ^ 0b101) for k, x in enumerate(fps[:20])), (200, fps[0])], "node long, fp long")
+    none = spark.createDataFrame([], "value long, node long")
+    pairs, many = simhash.candidates(nodes, none)
+    assert sorted(map(tuple, pairs.collect())) == sorted([*((k, 100 + k) for k in range(20)), (0, 200)]) and many.isEmpty()
+    met = spark.createDataFrame([(v, n) for v in (1, 2, 3) for n in (0, 100, 30)] + [(9, n) for n in range(simhash.PAIRED + 1)], "value long, node long")
+    pairs, many = simhash.candidates(nodes, met)
+    assert sorted(map(tuple, pairs.collect())) == sorted([*((k, 100 + k) for k in range(20)), (0, 200), (0, 30), (30, 100)]) and many.count() == simhash.PAIRED + 1
+
+
+def test_shuffles_are_released(spark):
+    """The files of a shuffle that nothing refers to any more go at once."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    common.release_shuffles(spark)
+    time.sleep(1)
+    before = files.getAllFiles().size()
+    common.staged(spark.range(20_000).groupBy((F.col("id") % 5_000).alias("k")).count(), "counted")
+    assert files.getAllFiles().size() > before
+    common.release_shuffles(spark)
+    for _ in range(50):
+        if files.getAllFiles().size() <= before:
+            break
+        time.sleep(0.2)
+    assert files.getAllFiles().size() <= before
