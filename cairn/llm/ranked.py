@@ -100,8 +100,9 @@ def index(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
             yield _shard(batch, task << 32 | k, n_docs, n_terms)
 
     schema = "shard long, docs array<long>, terms array<binary>, df array<int>, " + ", ".join(f"{c} array<int>" for k in range(TIERS) for c in _tier_names(k))
-    # a reader's batch holds a row group at most, so these are small
-    return staged(documents(docs).mapInArrow(build, schema), "tiers", **{"parquet.block.size": str(8 << 20)})
+    # a writer holds a row group, and a reader's batch is one at most, so these are small; the writer looks at their size after 100 rows
+    # unless it is told to after each, and 100 shards are more than a task has room for
+    return staged(documents(docs).mapInArrow(build, schema), "tiers", **{"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"})
 
 
 class Search:

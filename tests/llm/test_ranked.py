@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from cairn.llm import ranked
 
@@ -86,3 +87,14 @@ def test_bounds_never_lie():
             seen[t, tier["at"][ends[t] : ends[t + 1]]] = tier["impact"][ends[t] : ends[t + 1]]
             assert ((whole[t] == seen[t]) | (seen[t] == 0) & (whole[t] <= tier["rest"][t])).all()
     assert (seen == whole).all()
+
+
+def test_row_groups_hold_few_shards(spark):
+    """A task's shards are written (and so read) a few at a time, however many it has."""
+    texts = [" ".join(f"{(k * 400_000 + i) * 2_654_435_761 % (1 << 32):x}" for i in range(400_000)) for k in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tiers = ranked.index(docs, 6, 2_400_000)
+    assert tiers.count() == 6
+    for name in tiers.inputFiles():
+        found = pq.ParquetFile(name.removeprefix("file://")).metadata
+        assert found.num_rows < 2 or max(found.row_group(g).num_rows for g in range(found.num_row_groups)) < 6
