@@ -6,10 +6,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.session import cut_lineage, stored
+from cairn.session import cut_lineage, importable, release_shuffles, stored
 
 
 def tokens(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -156,43 +158,94 @@ def reuse(df: DataFrame, story: str) -> DataFrame:
 
 #: Rows of a word and size band that are joined in one piece.
 HOT_WORD = 1 << 13
+#: Counters of words by hash, of which a byte each is broadcast, and parts of the vocabulary that the suffix filter counts words in.
+COUNTERS, PARTS = 1 << 20, 64
+
+
+def _word_levels(hashes: DataFrame) -> np.ndarray:
+    """For every counter the number of rows (in eighths of a power of two, and one more) that have one of its words, 0 where at most one row has. hashes: h, the hashes of
+    a row's words. At most COUNTERS numbers come to the driver."""
+    counted = hashes.select(F.explode("h").alias("t")).groupBy(F.pmod("t", F.lit(COUNTERS)).cast("int").alias("c")).agg(F.count("*").alias("f")).where("f > 1")
+    found = counted.select("c", F.least(F.floor(F.log2("f") * 8) + 1, F.lit(255)).cast("short").alias("level")).toArrow()
+    out = np.zeros(COUNTERS, np.uint8)
+    out[found.column("c").to_numpy()] = found.column("level").to_numpy().astype(np.uint8)
+    return out
+
+
+def _sketched(hashes: DataFrame, levels: np.ndarray, least: float) -> DataFrame:
+    """id, n, parts (words in each part of the vocabulary, a byte each, 255 for more) and prefix (t and its place at) of rows id, n, h. Words are ordered by level and
+    hash, the same order in all rows; of the prefix those that no other row can have are left out."""
+    sent = hashes.sparkSession.sparkContext.broadcast(levels)
+
+    def sketch(batches):
+        for whole in batches:
+            for batch in [whole.slice(k, 1024) for k in range(0, whole.num_rows, 1024)]:
+                column, n = batch.column("h"), batch.column("n").to_numpy().astype(np.int64)
+                t, row = column.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+                parts = np.minimum(np.bincount(row * PARTS + (t >> 20) % PARTS, minlength=len(n) * PARTS), 255).astype(np.uint8)
+                level = sent.value[t % COUNTERS]
+                order = np.lexsort((t, level, row))
+                t, level = t[order], level[order]
+                at = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n) + 1
+                keep = (at <= (n - np.ceil(n * least - 1e-9).astype(np.int64) + 1)[row]) & (level > 0)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(n))))).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (t[keep], at[keep].astype(np.int32))]
+                raw = parts.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array([raw[k : k + PARTS] for k in range(0, len(raw), PARTS)], pa.binary()), *lists], ["id", "n", "parts", "t", "at"])
+
+    return hashes.mapInArrow(sketch, "id long, n int, parts binary, t array<long>, at array<int>")
+
+
+def _enough(pairs: DataFrame, least: float) -> DataFrame:
+    """x, y of pairs x, y, nx, ny, px, py whose words suffice part by part."""
+
+    def check(batches):
+        for batch in batches:
+            px, py = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS) for c in ("px", "py"))
+            shared = np.where((px == 255) & (py == 255), 1 << 30, np.minimum(px, py).astype(np.int64)).sum(axis=1)  # 255 stands for any number
+            n = batch.column("nx").to_numpy().astype(np.int64) + batch.column("ny").to_numpy()
+            yield batch.select(["x", "y"]).filter(pa.array(shared >= np.ceil(n * (least / (1 + least)) - 1e-9)))
+
+    return pairs.mapInArrow(check, "x long, y long")
 
 
 def jaccard_pairs(df: DataFrame, key: str, words: str, least: float = 0.8, hot: int = HOT_WORD) -> DataFrame:
     """a, b, jaccard of rows whose word sets overlap in at least this share, none missed; equal sets are one row before the join and named by
-    their least key. Words are ordered by how many sets have them, and four filters leave few pairs to compare:
+    their least key. Words are ordered by about how many rows have them, and four filters leave few pairs to compare:
 
     * prefix: a pair must share one of the rarest words of each, as many as may be missing and one more;
     * size: sets of a pair lie in the same band of sizes or in neighbouring ones, so the band is part of the join's key;
     * position: after a shared word, the rest of the shorter remainder must still suffice;
-    * suffix: words in 16 parts of the vocabulary, where a pair shares no more of a part than either has.
+    * suffix: words in PARTS parts of the vocabulary, where a pair shares no more of a part than either has.
 
+    Until then words are hashes and a set is one; the words themselves are shuffled only of sets with a pair left, and compared.
     A word that more than `hot` sets of a band have in their prefix is dealt over sub-keys, to which the other side is copied."""
-    sets = df.groupBy(F.array_sort(F.array_distinct(words)).alias("w")).agg(F.min(key).alias("k")).where("size(w) > 0")
-    sets = stored(sets.select("k", "w", F.size("w").alias("n")))
-    frequency = sets.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
-    window = Window.partitionBy("k").orderBy("f", "t")
-    spread = sets.select("k", "n", F.explode("w").alias("t")).join(frequency, "t").withColumn("at", F.row_number().over(window))
+    importable(df.sparkSession)
+    sets = df.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(words)).alias("w")).where("size(w) > 0").withColumn("id", F.xxhash64("w"))
+    hashes = sets.select("id", F.size("w").alias("n"), F.transform("w", lambda t: F.xxhash64(t)).alias("h"))
+    sketches = stored(_sketched(hashes, _word_levels(hashes.select("h")), least).dropDuplicates(["id", "n"]))
+    release_shuffles(df.sparkSession)
     band = F.floor(F.log("n") / (-math.log(least) * 1.0001)).cast("int")
-    heads = stored(spread.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & (F.col("f") > 1)).select("k", "n", "t", "at", band.alias("band")))
-    split = heads.groupBy("t", "band").agg(F.ceil(F.count("*") / hot).cast("int").alias("splits")).where("splits > 1")
-    larger = heads.select(F.col("k").alias("y"), F.col("n").alias("ny"), "t", F.col("at").alias("aty"), "band").join(split, ["t", "band"], "left")
+    heads = sketches.select("id", "n", F.explode(F.arrays_zip("t", "at")).alias("p"), band.alias("band")).select("id", "n", "p.t", "p.at", "band")
+    split = F.broadcast(heads.groupBy("t", "band").agg(F.ceil(F.count("*") / hot).cast("int").alias("splits")).where("splits > 1"))  # a row for each `hot` prefixes at most
+    larger = heads.select(F.col("id").alias("y"), F.col("n").alias("ny"), "t", F.col("at").alias("aty"), "band").join(split, ["t", "band"], "left")
     larger = larger.withColumn("piece", F.pmod(F.xxhash64("y"), F.coalesce("splits", F.lit(1)))).drop("splits")
-    smaller = heads.select(F.col("k").alias("x"), F.col("n").alias("nx"), "t", F.col("at").alias("atx"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")).join(split, ["t", "band"], "left")
+    smaller = heads.select(F.col("id").alias("x"), F.col("n").alias("nx"), "t", F.col("at").alias("atx"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")).join(split, ["t", "band"], "left")
     smaller = smaller.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("splits", F.lit(1)) - F.lit(1).cast("long")))).drop("splits")
     needed = F.ceil((F.col("nx") + F.col("ny")) * (least / (1 + least)) - 1e-9)
     ordered = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     fits = (F.col("nx") >= F.col("ny") * least - 1e-9) & (1 + F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty")) >= needed)
-    pairs = smaller.join(larger, ["t", "band", "piece"]).where(ordered & fits).select("x", "y", "nx", "ny").distinct()
-    part = F.pmod(F.xxhash64("t"), F.lit(16)).cast("int")
-    parts = stored(sets.select("k", F.explode("w").alias("t")).groupBy("k").agg(*[F.count_if(part == k).cast("int").alias(f"p{k}") for k in range(16)]))
-    sides = [parts.toDF(side, *[f"{side}{k}" for k in range(16)]) for side in ("x", "y")]
-    shared = sum((F.least(f"x{k}", f"y{k}") for k in range(1, 16)), F.least("x0", "y0"))
-    pairs = pairs.join(sides[0], "x").join(sides[1], "y").where(shared >= needed).select("x", "y", "nx", "ny")
-    both = pairs.join(sets.select(F.col("k").alias("x"), F.col("w").alias("wx")), "x").join(sets.select(F.col("k").alias("y"), F.col("w").alias("wy")), "y")
+    pairs = stored(smaller.join(larger, ["t", "band", "piece"]).where(ordered & fits).select("x", "y", "nx", "ny").distinct())
+    release_shuffles(df.sparkSession)
+    sides = [sketches.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("parts").alias(f"p{s}")) for s in ("x", "y")]
+    left = stored(_enough(pairs.join(sides[0], ["x", "nx"]).join(sides[1], ["y", "ny"]).select("x", "y", "nx", "ny", "px", "py"), least))
+    wanted = left.select(F.col("x").alias("id")).union(left.select("y")).distinct()
+    texts = stored(sets.join(wanted, "id", "left_semi").groupBy("id", "w").agg(F.min("k").alias("k")))
+    release_shuffles(df.sparkSession)
+    both = left.join(texts.toDF("x", "wx", "a"), "x").join(texts.toDF("y", "wy", "b"), "y")
     common = F.size(F.array_intersect("wx", "wy"))
-    score = common / (F.col("nx") + F.col("ny") - common)
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), score.alias("jaccard")).where(F.col("jaccard") >= least)
+    score = common / (F.size("wx") + F.size("wy") - common)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), score.alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def metrics(df: DataFrame, rates: dict[str, tuple[Column, Column]]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Graphs, band joins, units and similarity joins against plain versions."""
 
+import itertools
 import math
 import random
 
@@ -120,3 +121,24 @@ def test_top_pairs(spark, flat):
     assert [tuple(r) for r in profiling.top_pairs(df, "g", "w", 30, first=8).collect()] == want[:30]
     assert [tuple(r) for r in profiling.top_pairs(df, "g", "w", 30, first=40).collect()] == want[:30]
     assert profiling.top_pairs(df.limit(0), "g", "w").collect() == []
+
+
+def test_jaccard_pairs_sends_words_of_pairs_only(spark):
+    """Sets without a similar one never leave their task with their words; sizes, frequent words and sets of thousands of words lose no pair."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(400)]
+    sets = [rng.sample(words[: rng.choice((30, 400))], rng.randint(1, 30)) for _ in range(150)]
+    sets += [[*s, "more"] for s in sets[:60]] + [sets[0]] + [[f"l{k}" for k in range(20_000)], [f"l{k}" for k in range(2_000, 20_000)]] + [[]]
+    df = spark.createDataFrame(list(enumerate(sets)), "k long, w array<string>")
+    expected, least = set(), {}
+    for k, s in enumerate(sets):
+        if s:
+            least.setdefault(frozenset(s), k)
+    for (s, a), (t, b) in itertools.combinations(least.items(), 2):
+        if len(s & t) >= 0.8 * len(s | t) - 1e-12:
+            expected.add((min(a, b), max(a, b)))
+    for hot in (3, 1 << 13):
+        assert {(r.a, r.b) for r in profiling.jaccard_pairs(df, "k", "w", hot=hot).collect()} == expected
+    hashes = df.where("size(w) > 0").select(F.col("k").alias("id"), F.size("w").alias("n"), F.transform("w", lambda t: F.xxhash64(t)).alias("h"))
+    sketches = profiling._sketched(hashes, profiling._word_levels(hashes.select("h")), 0.8).collect()
+    assert len(sketches) == len(sets) - 1 and max(len(r.parts) for r in sketches) == profiling.PARTS and max(r.n for r in sketches) == 20_000
