@@ -2,12 +2,13 @@
 
 Pieces are dealt into cells of about CELL pieces. Each cell is packed by ISLANDS populations that evolve apart; a
 crossover injects whole well-filled sequences of one parent into the other, takes the sequences with duplicates
-out, and best-fits what was displaced. Between epochs each island's elite migrates to the next island. The poorly
+out, exchanges what was displaced with smaller items wherever a sequence gets fuller by it, and best-fits the rest. Between epochs each island's elite migrates to the next island. The poorly
 filled sequences of all cells are then pooled and packed again, so that cells cost next to nothing. No cell grows
 with the input; epochs are written to the shared folder."""
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from cairn.llm.common import documents, held, slices, staged, table
 from cairn.llm.tokens import WordTokenizer
 
 CAPACITY, VOCABULARY = 2048, "word_bpe_49k.json"
-CELL, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 8192, 2, 3, 2, 4
+CELL, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 8192, 2, 6, 3, 20
 #: Sequences filled less than this are pooled over all cells and packed again.
 POOR = 0.97
 
@@ -115,8 +116,42 @@ def mutate(a: Bins, rng: np.random.Generator) -> Bins:
     return _refilled(a.sizes, a.capacity, np.where(np.isin(a.of, gone), -1, a.of), rng)
 
 
+def exchange(bins: Bins, rng: np.random.Generator) -> None:
+    """Displaced items for smaller ones: in each sequence, the displaced item that fills it most in place of one or two of its own. What is
+    displaced gets smaller, and so easier to place."""
+    left = np.flatnonzero(bins.of < 0)
+    left = left[np.argsort(bins.sizes[left], kind="stable")]
+    items, sizes = left.tolist(), bins.sizes[left].tolist()
+    order = np.argsort(bins.of, kind="stable")[len(left) :]
+    ends = np.searchsorted(bins.of[order], np.arange(len(bins.free)), "right").tolist()
+    all_sizes, order, free, of = bins.sizes.tolist(), order.tolist(), bins.free, bins.of
+    for k in rng.permutation(len(free)).tolist():
+        room = free[k]
+        if not room or not items:
+            continue
+        own = order[ends[k - 1] if k else 0 : ends[k]]
+        best, chosen = 0, None
+        for a, x in enumerate(own):
+            for y in (None, *own[a + 1 :]):
+                size = all_sizes[x] + (all_sizes[y] if y is not None else 0)
+                at = bisect.bisect_right(sizes, size + room) - 1
+                if at >= 0 and sizes[at] - size > best:
+                    best, chosen = sizes[at] - size, (at, x, y)
+        if chosen:
+            at, x, y = chosen
+            of[items[at]], free[k] = k, room - best
+            del items[at], sizes[at]
+            for i in (x, y):
+                if i is not None:
+                    of[i] = -1
+                    at = bisect.bisect_right(sizes, all_sizes[i])
+                    items.insert(at, i)
+                    sizes.insert(at, all_sizes[i])
+
+
 def _refilled(sizes: np.ndarray, capacity: int, of: np.ndarray, rng: np.random.Generator) -> Bins:
     out = Bins.restore(sizes, capacity, of)
+    exchange(out, rng)
     left = np.flatnonzero(out.of < 0)
     out.best_fit(left[np.argsort(-sizes[left] * rng.uniform(0.97, 1.0, len(left)), kind="stable")].tolist())
     return out

@@ -453,6 +453,18 @@ def test_packing(spark, tables):
         assert own.start.tolist() == list(range(0, len(ids), 2048))
 
 
+def test_evolution_gains_on_best_fit():
+    """Sizes that best fit packs badly: two fifths of what it is over the bound go in one epoch."""
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(300, 1400, 4000)
+    first = packing.Bins(sizes, 2048)
+    first.best_fit(np.argsort(-sizes, kind="stable").tolist())
+    found = packing.Bins.restore(sizes, 2048, packing.evolve(sizes, 2048, [], [0, 0, 0])[0])
+    assert (found.of >= 0).all() and (np.bincount(found.of, sizes) <= 2048).all()
+    least = -(-int(sizes.sum()) // 2048)
+    assert len(found.free) - least <= 0.6 * (len(first.free) - least)
+
+
 def test_crossover_keeps_every_item():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 900, 400)
