@@ -1,24 +1,33 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Characters are folded into 64 symbols and the model has order ORDER = 4, so that no table of n-grams ever has more than
-64^4 rows whatever the corpus: that is the proven bound of what is broadcast (64 MiB). Counts are gathered from every trusted
-document and joined, sharded by n-gram, with every n-gram of every document; the joined log-probabilities are then looked up
-where the texts are, as sending each occurrence to its count would shuffle several times the corpus. A document is kept if its
-perplexity is within a quantile of the trusted documents of its language."""
+The model that decides is made of n-grams of FULL_ORDER letters of the whole alphabet, as they stand: nothing is folded, so its table grows with the
+corpus and is never in one place. Texts go in parts of about PART letters. A part's different n-grams are sent once, dealt into shards by n-gram;
+counts are summed and log-probabilities joined to the n-grams of every part shard by shard, and come back to the part that holds the texts. A document is
+kept if its perplexity is within a quantile of the trusted documents of its language.
+
+Beside it stands a small model of order ORDER = 4 on 64 folded symbols, whose table never has more than 64^4 rows and is broadcast. Its
+perplexity is a column of the result and decides nothing."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import documents, slices, staged, table
+from cairn.llm.common import documents, release_shuffles, slices, staged, table
 
 ORDER, SYMBOL_BITS, QUANTILE = 4, 6, 0.99
 SYMBOLS, GRAMS = 1 << SYMBOL_BITS, 1 << SYMBOL_BITS * ORDER
+#: The model of all letters: n-grams of FULL_ORDER code points, the first two in one long (hi), the last three in another (lo).
+FULL_ORDER, CODE_BITS = 5, 21
+#: The least discount: where counts are few, the estimate may be 0.
+LEAST = 0.1
+#: Letters of a part (a longer text is a part of its own), letters taken at once, and bytes of text for each shard of n-grams.
+PART, SLICE, SHARD_BYTES = 16 << 20, 1 << 20, 32 << 20
 #: Punctuation that shares a symbol, in symbol order from 28 on: fixed values.
 _PUNCTUATION = (".", ",", "'`", "-", '"', ":;", "!?", "()[]{}", "#", "*", "&", "%", "$", "@", "/\\|", "_", "=+~^", "<>")
 
@@ -78,40 +87,209 @@ def _rows(counts: np.ndarray, present: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["g", "c"])
 
 
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of one, two, and three or more."""
+def _discounts(counts: DataFrame, least: float) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts for counts of one, two, and three or more, and least at least."""
     n = counts.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-    return tuple(min(float(k), max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5 for k in (1, 2, 3))
+    return tuple(min(float(k), max(least, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5 for k in (1, 2, 3))
 
 
 def _discount(d: tuple[float, float, float]) -> Column:
     return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
 
 
-def log_probabilities(counts: DataFrame) -> DataFrame:
-    """counts: g, c (0: not in trusted text). g and its log-probability after its context, interpolated over all orders."""
+def _folded_last(g: Column, order: int) -> Column:
+    """The last symbols of an n-gram."""
+    return g.bitwiseAND((1 << SYMBOL_BITS * order) - 1)
+
+
+def _folded_before(g: Column) -> Column:
+    """An n-gram without its last symbol."""
+    return F.shiftright(g, SYMBOL_BITS)
+
+
+def _full_last(g: Column, order: int) -> Column:
+    hi, lo = ((1 << CODE_BITS * max(0, k)) - 1 for k in (order - 3, min(order, 3)))
+    return F.struct(g["hi"].bitwiseAND(F.lit(hi)).alias("hi"), g["lo"].bitwiseAND(F.lit(lo)).alias("lo"))
+
+
+def _full_before(g: Column) -> Column:
+    passed = F.shiftleft(g["hi"].bitwiseAND(F.lit((1 << CODE_BITS) - 1)), 2 * CODE_BITS)
+    return F.struct(F.shiftright(g["hi"], CODE_BITS).alias("hi"), F.shiftright(g["lo"], CODE_BITS).bitwiseOR(passed).alias("lo"))
+
+
+def log_probabilities(counts: DataFrame, most: int = ORDER, last: Callable = _folded_last, before: Callable = _folded_before, symbols: int | None = SYMBOLS, least: float = 0.0) -> DataFrame:
+    """counts: g, c (0: not in trusted text). g and its log-probability after its context, interpolated over all orders down to an equal
+    chance for each symbol (symbols is None: those of trusted text and one for all others). With a least discount above 0 something is
+    left everywhere for what was not seen; without one a probability may be 0, and is taken for 1e-30."""
     found, seen = counts, counts.where("c > 0")
     levels = []
-    for order in range(ORDER, 0, -1):
-        d = _discounts(seen)
-        context = seen.groupBy(F.shiftright("g", SYMBOL_BITS).alias("h")).agg(F.sum("c").alias("total"), *[F.count_if(x).alias(f"n{k}") for k, x in enumerate((F.col("c") == 1, F.col("c") == 2, F.col("c") > 2))])
+    for order in range(most, 0, -1):
+        d = _discounts(seen, least)
+        context = seen.groupBy(before(F.col("g")).alias("h")).agg(F.sum("c").alias("total"), *[F.count_if(x).alias(f"n{k}") for k, x in enumerate((F.col("c") == 1, F.col("c") == 2, F.col("c") > 2))])
         context = context.select("h", "total", ((F.col("n0") * d[0] + F.col("n1") * d[1] + F.col("n2") * d[2]) / F.col("total")).alias("rest"))
         levels.append((order, seen, context, d))
-        seen = staged(seen.groupBy(F.col("g").bitwiseAND((1 << SYMBOL_BITS * (order - 1)) - 1).alias("g")).agg(F.count("*").alias("c")), "continuations")
-    out = found.select(F.col("g").alias("full"), F.lit(1.0 / SYMBOLS).alias("p"))
+        if order == 1 and symbols is None:
+            symbols = seen.count() + 1
+        seen = staged(seen.groupBy(last(F.col("g"), order - 1).alias("g")).agg(F.count("*").alias("c")), "continuations")
+    out = found.select(F.col("g").alias("full"), F.lit(1.0 / symbols).alias("p"))
     for order, seen, context, d in reversed(levels):
-        mask = (1 << SYMBOL_BITS * order) - 1
         near = seen.select("g", "c")
-        own, h = F.col("full").bitwiseAND(mask), F.shiftright(F.col("full").bitwiseAND(mask), SYMBOL_BITS)
-        out = out.join(near, own == F.col("g"), "left").join(context, h == F.col("h"), "left")
+        own = last(F.col("full"), order)
+        out = out.join(near, own == F.col("g"), "left").join(context, before(own) == F.col("h"), "left")
         p = F.when(F.col("total").isNull(), F.col("p")).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.col("c") - _discount(d)) / F.col("total"), F.lit(0.0)) + F.col("rest") * F.col("p"))
         out = out.select("full", p.alias("p"))
-    return out.select(F.col("full").alias("g"), F.log("p").cast("float").alias("logp"))
+    return out.select(F.col("full").alias("g"), F.log(F.greatest(F.col("p"), F.lit(1e-30))).cast("float").alias("logp"))
+
+
+def full_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hi and lo of the different n-grams of the texts; for all n-grams, one text after another, which of these it is; how many each text
+    has: one for each letter and its end. Before a text and at its end stands a NUL."""
+    pad, sizes = "\0" * (FULL_ORDER - 1), np.fromiter(map(len, texts), np.int64, len(texts))
+    x = np.frombuffer("".join([pad + t + "\0" for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    there = np.zeros(0x110000, bool)
+    there[x] = True
+    alphabet = int(there.sum())
+    letters = (np.cumsum(there) - 1)[x]
+    n = len(x) - FULL_ORDER + 1
+    own, ends = np.ones(n, bool), np.cumsum(sizes + FULL_ORDER)
+    for k in range(1, FULL_ORDER):
+        own[ends[:-1] - k] = False  # these lie in two texts
+    codes, top = letters[:n], alphabet
+    for k in range(1, FULL_ORDER):
+        if top * alphabet >= 1 << 62:
+            codes = np.unique(codes, return_inverse=True)[1]
+            top = int(codes.max()) + 1
+        codes, top = codes * alphabet + letters[k : n + k], top * alphabet
+    _, first, which = np.unique(codes[own], return_index=True, return_inverse=True)
+    at = np.flatnonzero(own)[first]
+    return x[at] << CODE_BITS | x[at + 1], x[at + 2] << 2 * CODE_BITS | x[at + 3] << CODE_BITS | x[at + 4], which, sizes + 1
+
+
+def _shard(hi, lo, shards: int):
+    """The shard of n-grams, of numbers or columns."""
+    return ((lo % 2147483647) * 31 + hi % 2147483647) % shards
+
+
+def _summed(hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each n-gram once, in order, with the sum of its counts."""
+    order = np.lexsort((lo, hi))
+    hi, lo, n = hi[order], lo[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))))
+    return hi[first], lo[first], np.add.reduceat(n, first)
+
+
+def _looked_up(hi: np.ndarray, lo: np.ndarray, values: np.ndarray, asked_hi: np.ndarray, asked_lo: np.ndarray) -> np.ndarray:
+    """The values of the n-grams asked for, all of which are among the given ones (each given once)."""
+    asked = np.repeat([False, True], [len(hi), len(asked_hi)])
+    order = np.lexsort((asked, np.concatenate((lo, asked_lo)), np.concatenate((hi, asked_hi))))
+    asked = asked[order]
+    given = order[~asked][np.cumsum(~asked) - 1][asked]
+    out = np.empty(len(asked_hi), values.dtype)
+    out[order[asked] - len(hi)] = values[given]
+    return out
+
+
+def _packed(**columns) -> bytes:
+    batch, sink = pa.RecordBatch.from_pydict(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def _numbers(rows: list[bytes], *names: str) -> list[np.ndarray]:
+    """Columns of packed rows, one row after another."""
+    found = [_unpacked(r) for r in rows]
+    return [np.concatenate([f.column(n).to_numpy() for f in found]) for n in names]
+
+
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, so that marking them shuffles less."""
+    for batch in batches:
+        sizes, zipped = [], []
+        for t in batch.column("text").to_pylist():
+            raw = t.encode()
+            sizes.append(len(raw))
+            zipped.append(pa.compress(raw, "zstd", asbytes=True))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(sizes, pa.int64()), pa.array(zipped, pa.binary())], ["doc_id", "lang", "size", "zipped"])
+
+
+def _parted(shards: int):
+    """Rows of parts: packed texts (shard null), and packed n-grams by shard with their counts in trusted texts."""
+
+    def rows(part: int, found: list[tuple]) -> pa.RecordBatch:
+        hi, lo, n = _summed(*map(np.concatenate, zip(*found, strict=True)))
+        shard = _shard(hi, lo, shards)
+        order = np.argsort(shard, kind="stable")
+        own = [(k, x) for k, x in enumerate(np.split(order, np.searchsorted(shard[order], np.arange(1, shards)))) if len(x)]
+        return batch([part] * len(own), [k for k, _ in own], [_packed(hi=hi[x], lo=lo[x], n=n[x]) for _, x in own])
+
+    def batch(part: list, shard: list, data: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(shard, pa.int64()), pa.array(data, pa.binary())], ["part", "shard", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, found, size = TaskContext.get().partitionId() << 32, [], 0
+        for zipped in batches:
+            sizes = np.cumsum(zipped.column("size").to_numpy())
+            cuts = np.searchsorted(sizes, np.arange(SLICE, int(sizes[-1]) if len(sizes) else 0, SLICE)).tolist()
+            for at, to in zip([0, *cuts], [*cuts, zipped.num_rows], strict=True):
+                some = zipped.slice(at, to - at)
+                if not some.num_rows:
+                    continue
+                texts = [pa.decompress(z, n, "zstd", asbytes=True).decode() for z, n in zip(some.column("zipped").to_pylist(), some.column("size").to_pylist(), strict=True)]
+                trusted = some.column("trusted").to_numpy(zero_copy_only=False)
+                hi, lo, which, n = full_grams(texts)
+                found.append((hi, lo, np.bincount(which[np.repeat(trusted, n)], minlength=len(hi))))
+                yield batch([part], [None], [_packed(doc_id=some.column("doc_id"), lang=some.column("lang"), text=pa.array(texts, pa.string()), trusted=some.column("trusted"))])
+                size += int(n.sum())
+                if size >= PART:
+                    yield rows(part, found)
+                    part, found, size = part + 1, [], 0
+        if found:
+            yield rows(part, found)
+
+    return run
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from map(_unpacked, batch.column("data").to_pylist())
+
+
+def _counts(group: pa.Table) -> pa.Table:
+    """The n-grams of one shard, of all parts."""
+    hi, lo, n = _summed(*_numbers(group.column("data").to_pylist(), "hi", "lo", "n"))
+    return pa.table({"hi": hi, "lo": lo, "c": n})
+
+
+def _joined(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """One shard: for each part its n-grams with their log-probabilities."""
+    given = [known.column(c).to_numpy() for c in ("hi", "lo", "logp")]
+    out = []
+    for data in asked.column("data").to_pylist():
+        hi, lo = _numbers([data], "hi", "lo")
+        out.append(_packed(hi=hi, lo=lo, logp=_looked_up(*given, hi, lo)))
+    return pa.table({"part": asked.column("part"), "data": pa.array(out, pa.binary())})
+
+
+def full_model(parts: DataFrame, shards: int) -> DataFrame:
+    """parts: as _parted() makes them. part, data: for each part and shard the n-grams and their log-probabilities."""
+    asked = parts.where("shard is not null")
+    summed = staged(asked.groupBy("shard").applyInArrow(_counts, "hi long, lo long, c long"), "counts")
+    release_shuffles(parts.sparkSession)
+    logp = staged(log_probabilities(summed.select(F.struct("hi", "lo").alias("g"), "c"), FULL_ORDER, _full_last, _full_before, None, LEAST), "probabilities")
+    known = logp.select(_shard(F.col("g.hi"), F.col("g.lo"), shards).alias("shard"), "g.hi", "g.lo", "logp")
+    found = staged(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_joined, "part long, data binary"), "joined")
+    release_shuffles(parts.sparkSession)
+    return found
 
 
 def model(docs: DataFrame) -> np.ndarray:
-    """docs: text, trusted. Log-probability of each n-gram that occurs in any text, by its number."""
+    """docs: text, trusted. Log-probability of each folded n-gram that occurs in any text, by its number; GRAMS at most."""
     counts = staged(docs.mapInArrow(_counted, "g int, c long").groupBy("g").agg(F.sum("c").alias("c")), "counts")
     found = log_probabilities(counts).toArrow()
     out = np.zeros(GRAMS, np.float32)
@@ -119,35 +297,51 @@ def model(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def perplexities(docs: DataFrame, logp: np.ndarray) -> DataFrame:
-    """docs (text not null) without text, with n_symbols and perplexity."""
-    sent = docs.sparkSession.sparkContext.broadcast(logp)  # 4 * GRAMS bytes
-    kept = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*kept).withColumns({"n_symbols": F.lit(0).cast("long"), "perplexity": F.lit(0.0)}).schema
+_SCORED = "doc_id long, lang string, n_symbols long, perplexity double, full_perplexity double"
+
+
+def perplexities(marked: DataFrame, shards: int) -> DataFrame:
+    """marked: doc_id, lang, size, zipped, trusted. doc_id, lang, n_symbols, and both models' perplexity."""
+    parts = staged(marked.mapInArrow(_parted(shards), "part long, shard long, data binary"), "parts")
+    release_shuffles(marked.sparkSession)
+    texts = parts.where("shard is null").select("part", "data")
+    folded = model(texts.mapInArrow(_texts, "doc_id long, lang string, text string, trusted boolean").select("text", "trusted"))
+    there = np.flatnonzero(folded)
+    sent = marked.sparkSession.sparkContext.broadcast((there, folded[there]))  # 12 * GRAMS bytes at most; a dense table would be 64 MiB on every disk
+    found = full_model(parts, shards)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logp = sent.value
-        for batch in slices(batches, "text", 4 << 20):
-            found, sizes = grams(batch.column("text").to_pylist())
-            sums = np.add.reduceat(logp[found].astype(np.float64), np.cumsum(sizes) - sizes)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sizes), pa.array(np.exp(-sums / sizes))], [*kept, "n_symbols", "perplexity"])
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        folded = np.zeros(GRAMS, np.float32)
+        folded[sent.value[0]] = sent.value[1]
+        given = _numbers(known.column("data").to_pylist(), "hi", "lo", "logp")
+        out = []
+        for batch in map(_unpacked, texts.column("data").to_pylist()):
+            own = batch.column("text").to_pylist()
+            hi, lo, which, sizes = full_grams(own)
+            values = (folded[grams(own)[0]], _looked_up(*given, hi, lo)[which])
+            means = [np.add.reduceat(v.astype(np.float64), np.cumsum(sizes) - sizes) / sizes for v in values]
+            out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(sizes), *(pa.array(np.exp(-m)) for m in means)], ["doc_id", "lang", "n_symbols", "perplexity", "full_perplexity"]))
+        return pa.Table.from_batches(out)
 
-    return docs.mapInArrow(score, schema)
+    return texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(score, _SCORED)
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, threshold, keep for every row of docs. Trusted documents have a label of quality 1
+    """doc_id, lang, n_symbols, perplexity (of folded symbols), full_perplexity (of all letters), threshold (of full_perplexity), keep
+    for every row of docs. Trusted documents have a label of quality 1
     that isn't toxic. Where a language has no trusted document, there is no threshold and its documents are kept. A null text is
     empty; a null lang is a language of its own."""
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
-    source = documents(docs, "lang")
+    source = documents(docs, F.col("lang").cast("string").alias("lang"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    zipped = source.mapInArrow(_zipped, "doc_id long, lang string, size long, zipped binary")
     # one plan at every size: where the labels are few, a broadcast would hide that the texts are shuffled once
-    marked = source.join(trusted.hint("merge"), F.col("doc_id") == F.col("id"), "left").select("text", F.col("id").isNotNull().alias("trusted"))
-    scored = staged(perplexities(source, model(marked)), "perplexities")
+    marked = zipped.join(trusted.hint("merge"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "lang", "size", "zipped", F.col("id").isNotNull().alias("trusted"))
+    scored = staged(perplexities(marked, max(16, size // SHARD_BYTES)), "perplexities")
     known = scored.join(trusted, F.col("doc_id") == F.col("id"), "left_semi")
-    limits = known.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("perplexity", quantile, 100_000).alias("threshold"))
+    limits = known.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("full_perplexity", quantile, 100_000).alias("threshold"))
     out = scored.join(limits, F.col("lang").eqNullSafe(F.col("l")), "left")
-    return out.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
+    return out.select("doc_id", "lang", "n_symbols", "perplexity", "full_perplexity", "threshold", F.coalesce(F.col("full_perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

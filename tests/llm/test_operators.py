@@ -647,6 +647,64 @@ def test_quality(spark, tables):
         assert found[k].perplexity == pytest.approx(np.exp(-np.mean([np.log(p(x, 4)) for x in g])), rel=1e-4)
 
 
+def test_quality_of_all_letters(spark, tables):
+    """Letters that the folded model takes for one symbol are told apart, and probabilities are those of a model worked out by hand."""
+    import collections
+
+    rng = random.Random(7)
+    cyrillic = "абвгдежз"
+    docs = [(k, " ".join("".join(rng.choice(cyrillic[:4]) for _ in range(5)) for _ in range(30)), "ru", "s", 1) for k in range(40)]
+    docs += [(k + 40, "".join(chr(ord(c) + 16 * 2) if c != " " else c for c in t), "ru", "s", 1) for k, (_, t, *_) in enumerate(docs[:10])]
+    docs += [(50, None, "ru", "s", 0), (51, "日本語" * 40, None, "s", 0), (None, docs[0][1], "ru", "s", 1)]
+    found = QUERIES["op7_quality"](spark, tables(docs, labels=[(k, int(k < 40), 0) for k in range(52)])).collect()
+    assert len(found) == len(docs)
+    found = {r.doc_id: r for r in found}
+    assert all(found[k].perplexity == pytest.approx(found[k + 40].perplexity) for k in range(10))
+    assert all(found[k + 40].full_perplexity > 3 * found[k].full_perplexity and not found[k + 40].keep for k in range(10))
+    assert found[51].keep and found[51].threshold is None and found[None].full_perplexity == found[0].full_perplexity
+
+    def all_grams(text):
+        text = "\0" * 4 + (text or "") + "\0"
+        return [text[k : k + 5] for k in range(len(text) - 4)]
+
+    counts = {5: collections.Counter(g for _, t, *_ in docs[:40] for g in all_grams(t))}
+    for order in (4, 3, 2, 1):
+        counts[order] = collections.Counter(g[1:] for g in counts[order + 1])
+    cuts, contexts = {}, {}
+    for order, c in counts.items():
+        n = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        cuts[order] = [min(float(k), max(0.1, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5 for k in (1, 2, 3)]
+        contexts[order] = collections.defaultdict(lambda: [0, 0.0])
+        for g, v in c.items():
+            x = contexts[order][g[:-1]]
+            x[0], x[1] = x[0] + v, x[1] + cuts[order][min(v, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        if g[:-1] not in contexts[len(g)]:
+            return p(g[1:])
+        total, rest = contexts[len(g)][g[:-1]]
+        c = counts[len(g)].get(g, 0)
+        return (c - cuts[len(g)][min(c, 3) - 1] if c else 0) / total + rest / total * p(g[1:])
+
+    for k in (0, 39, 45, 50, 51):
+        assert found[k].full_perplexity == pytest.approx(np.exp(-np.mean([np.log(p(g)) for g in all_grams(docs[k][1])])), rel=1e-4)
+
+
+@pytest.mark.parametrize("alphabet", [8, 30_000])
+def test_full_grams(alphabet):
+    rng = random.Random(alphabet)
+    texts = ["", "a", *("".join(chr(0x4E00 + rng.randrange(alphabet)) for _ in range(rng.randint(0, 20_000))) for _ in range(8))]
+    hi, lo, which, sizes = quality.full_grams(texts)
+    assert sizes.tolist() == [len(t) + 1 for t in texts] and len(which) == sum(sizes)
+    padded = ["\0" * 4 + t + "\0" for t in texts]
+    own = [[ord(c) for c in t[k : k + 5]] for t in padded for k in range(len(t) - 4)]
+    assert [(g[0] << 21 | g[1], g[2] << 42 | g[3] << 21 | g[4]) for g in own] == list(zip(hi[which].tolist(), lo[which].tolist(), strict=True))
+    assert len(set(zip(hi.tolist(), lo.tolist(), strict=True))) == len(hi)
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_empty_table(spark, tables, name):
     assert QUERIES[name](spark, tables([])).count() == 0
