@@ -31,11 +31,8 @@ class Profiles:
             if (x := chr(c)).isalpha():
                 self.letters[c] = ord(x.lower()[0])
         self.vectors: dict[int, np.ndarray] = {}
-        self._clear()
-
-    def _clear(self) -> None:
         self.rows: dict[int, int] = {}
-        self.matrix = np.zeros((1024, DIMENSIONS), np.int8)
+        self.matrix = np.empty((MAX_GRAMS, DIMENSIONS), np.int8)  # takes memory as its rows are written; growing it would hold it twice
 
     def _letter(self, c: int) -> np.ndarray:
         if c not in self.vectors:
@@ -59,12 +56,10 @@ class Profiles:
         for at in range(0, len(grams), 4096):
             part = grams[at : at + 4096].tolist()
             if len(self.rows) + len(part) > MAX_GRAMS:
-                self._clear()
+                self.rows.clear()
             for g in part:
                 if g not in self.rows:
                     k = self.rows[g] = len(self.rows)
-                    if k == len(self.matrix):
-                        self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
                     a, b, c = g >> 42, (g >> 21) & 0x1FFFFF, g & 0x1FFFFF
                     self.matrix[k] = np.roll(self._letter(a), 2) * np.roll(self._letter(b), 1) * self._letter(c)
             rows = np.fromiter(map(self.rows.__getitem__, part), np.int64, len(part))

@@ -1,8 +1,11 @@
 """Every operator against a brute-force version on a small table with copies, near copies, nulls, ties and long texts."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -705,6 +708,36 @@ def test_full_grams(alphabet):
     assert len(set(zip(hi.tolist(), lo.tolist(), strict=True))) == len(hi)
 
 
+def test_profiles_keep_one_matrix():
+    """Trigram vectors stay in one matrix, also where more trigrams are met than it holds, and bundles are the same for it."""
+    p = langid.Profiles()
+    matrix, rng = p.matrix, random.Random(2)
+    texts = ["".join(chr(97 + rng.randrange(26)) for _ in range(3000)) for _ in range(12)]
+    found = [p.bundle(*p.grams(t)) for t in texts]
+    assert p.matrix is matrix and len(p.matrix) <= langid.MAX_GRAMS
+    assert all((langid.Profiles().bundle(*p.grams(t)) == x).all() for t, x in zip(texts[-2:], found[-2:], strict=True))
+
+
+def test_memory_of_the_operator_before_goes_back():
+    """A worker that goes on to the next operator holds no memory of the last one, even below something that stays."""
+    code = """
+import re
+from cairn.llm.common import held
+def resident():
+    return int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+before = resident()
+kept = held("one")
+kept["rows"] = [bytes(2000) for _ in range(150_000)]
+kept = None
+stays = [bytes(2000) for _ in range(10)]
+full = resident()
+held("two")
+assert full - before > 250 and resident() - before < 60, (before, full, resident())
+"""
+    if os.path.exists("/proc/self/status"):
+        subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_empty_table(spark, tables, name):
     assert QUERIES[name](spark, tables([])).count() == 0
