@@ -17,8 +17,8 @@ _PLAIN = re.compile(r"[\x21-\x7e¡-ɏ]+")
 _COMMON, _CLOSING = re.compile(r"[\x00-\x7e¡-įı-ɏ]*"), re.compile(r"(?<=[a-z])[.,;:!?](?=\s)")
 #: Separators of Python's split() that the tokenizer doesn't take for white space.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Words (and pieces of them) that a generation of the caches holds. A full one becomes the old one, from which what is met again is taken over.
-MAX_WORDS = 150_000
+#: Words and pieces of them that a generation of the cache holds. A full one becomes the old one, from which what is met again is taken over.
+MAX_WORDS = 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -34,33 +34,31 @@ class WordTokenizer:
     def __init__(self, path: str) -> None:
         self.whole = Tokenizer.from_file(path)
         self.tokenize, self.letters = self.whole.model.tokenize, byte_letters()
-        self.pieces, self.old_pieces = {}, {}
-        self.known, self.old = {}, {}
+        self.names = [k.to_bytes(4, "little") for k in range(max(self.whole.get_vocab(with_added_tokens=True).values()) + 1)]
+        self.known, self.old = {}, {}  # a piece by itself is a word of the same ids
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _tokens(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return b"".join([self.names[t.id] for t in self.tokenize(spelled)])
+
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = self.old_pieces.get(piece)
-            if found is None:
-                spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-                found = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(spelled)])
-            if len(piece) <= 40:
-                if len(self.pieces) >= MAX_WORDS:
-                    self.pieces, self.old_pieces = {}, self.pieces
-                self.pieces[piece] = found
-        return found
+        found = self.known.get(piece) or self.old.get(piece)
+        return self._kept(piece, self._tokens(piece) if found is None else found)
 
     def _word(self, word: str) -> bytes:
         """A word with special tokens, rare scripts or combining marks goes to the tokenizer itself; the others are composed
         already, and their lower case depends on no neighbour."""
+        if word.isascii() and word.isalpha():
+            low = word.lower()
+            return self._tokens(word) if low == word else self._piece(low)
         if "<|" in word or not _PLAIN.fullmatch(word):
             return self._encode(word)
         low = word.lower()
         if low.isalpha():
-            return self._piece(low)
+            return self._tokens(low) if low == word else self._piece(low)
         if low[:-1].isalpha() and low[-1] in ".,;:!?":
             return self._piece(low[:-1]) + self._piece(low[-1])
         return b"".join(map(self._piece, _PIECES.findall(low)))
@@ -81,8 +79,9 @@ class WordTokenizer:
     def _met(self, word: str) -> bytes:
         """The ids of a word that is not among the latest ones."""
         found = self.known.get(word) or self.old.get(word)
-        if found is None:
-            found = self._word(word)
+        return self._kept(word, self._word(word) if found is None else found)
+
+    def _kept(self, word: str, found: bytes) -> bytes:
         if len(word) <= 40:
             if len(self.known) >= MAX_WORDS:
                 self.known, self.old = {}, self.known

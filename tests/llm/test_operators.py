@@ -708,6 +708,24 @@ def test_full_grams(alphabet):
     assert len(set(zip(hi.tolist(), lo.tolist(), strict=True))) == len(hi)
 
 
+def test_tokens_are_found_once():
+    """Of 250,000 words none is encoded again when it comes back, also not as a piece of another word."""
+    import public_tokenizers
+
+    t, calls = WordTokenizer(public_tokenizers.path("word_bpe_49k.json")), []
+    own = t.tokenize
+    t.tokenize = lambda x: calls.append(x) or own(x)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[k // 26**i % 26] for i in range(4)) for k in range(250_000)]
+    text = " ".join(words)
+    first = t.ids(text)
+    assert len(calls) == len(words)
+    assert t.ids(text) == first and len(calls) == len(words)
+    for mixed in (f"({words[-1]}), ({words[-2].upper()}) {words[-3]}-{words[-4]}! A1 É\u0130 \u023a <|x|>",):
+        assert t.ids(mixed) == np.array(t.whole.encode(mixed, add_special_tokens=False).ids, "<u4").tobytes()
+    assert not set(calls[len(words) :]) & set(words)
+
+
 def test_profiles_keep_one_matrix():
     """Trigram vectors stay in one matrix, also where more trigrams are met than it holds, and bundles are the same for it."""
     p = langid.Profiles()
