@@ -766,3 +766,24 @@ def test_nulls_and_repeated_rows(spark, tables, name):
     docs = [(None, None, None, None, None), (1, "a b c d", "en", None, 1), (1, "a b c d", "en", None, 1), (1, "other text", None, "s", None), (None, "x y", None, None, None)]
     found = QUERIES[name](spark, tables(docs, labels=[(None, None, None), (1, 1, None)], benchmark=[(None, None)])).collect()
     assert len(found) == len(docs)
+
+
+def test_edits_between_common_ends_and_letters_by_table(monkeypatch):
+    """Lines that differ in one place are decided by what is between their common ends; letters of one alphabet are numbered without sorting."""
+    line = " ".join(f"word{k}" for k in range(200))
+    with monkeypatch.context() as m:
+        m.setattr(edits, "at_most", lambda *_: 1 / 0)
+        assert edits.similar([(line.encode(), line.replace("word90 word91", "w of rds").encode())]) == [True]
+    rng = np.random.default_rng(3)
+    for low, span in ((97, 20), (0, 3), (0x4E00, 400), (0x10FF00, 255)):
+        pairs = []
+        for _ in range(60):
+            x = rng.integers(low, low + span, rng.integers(40, 90))
+            y = np.where(rng.random(len(x)) < 0.3, rng.integers(low, low + span, len(x)), x)[rng.integers(0, 5) :]
+            pairs.append(("".join(map(chr, x)), "".join(map(chr, y))))
+        assert edits.distances(pairs) == [edits_of(x, y) for x, y in pairs]
+    latin = [(f"{chr(97 + k % 20)}{line[:60]}{k}x", f"{line[:60]}q{k}{chr(98 + k % 20)}z") for k in range(60)]
+    with monkeypatch.context() as m:
+        m.setattr(edits.np, "unique", lambda *_, **__: 1 / 0)
+        found = edits.distances(latin)
+    assert found == [edits_of(x, y) for x, y in latin]
