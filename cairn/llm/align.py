@@ -13,9 +13,10 @@ import hashlib
 import os
 import re
 import uuid
+from array import array
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -25,12 +26,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import held, least_count, ready, slices, staged, table
+from cairn.llm.common import held, least_count, ready, release, slices, staged, table
 from cairn.llm.tokens import byte_letters
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs of ids (17 bytes each) and aligned parts that are broadcast at most, and other parts and subparts that a worker keeps.
-HOT, HOT_PARTS, MAX_PARTS, MAX_SUBPARTS = 1 << 20, 400_000, 60_000, 80_000
+HOT, HOT_PARTS, MAX_PARTS, MAX_SUBPARTS = 1 << 20, 500_000, 60_000, 80_000
 #: Different parts that a task counts before it sends them on.
 FLUSH = 300_000
 #: Letters of which both tokenizers know that they are letters.
@@ -46,7 +47,7 @@ def parts(text: str) -> list[str]:
     return text.split(" ") if not _ODD.search(text) else _PARTS.split(text)
 
 
-def groups(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def groups(a: Iterable[int], b: Iterable[int]) -> list[tuple[int, int]]:
     """a, b: token lengths in bytes over the same bytes. Returns for each group how many A and B tokens end with it or before."""
     ends = list(accumulate(b))
     out, at = [], 0
@@ -74,6 +75,7 @@ class Aligner:
         self.a_bytes = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in map(self.b.id_to_piece, range(self.b.get_piece_size()))]
         self.a_names, self.b_names = [str(i) for i in range(max(self.a_bytes) + 1)], [str(i) for i in range(len(self.b_bytes))]
+        self.a_sizes, self.b_sizes = {i: len(x) for i, x in self.a_bytes.items()}, list(map(len, self.b_bytes))
         self.known, self.old = {}, {}
 
     def _ids(self, sub: str) -> tuple[list[int], list[int]]:
@@ -85,19 +87,19 @@ class Aligner:
             return a, self.b.encode(sub[1:])
         return a, self.b.encode("\n" + sub)[2:]  # without the space that B adds; a line end stands alone in B
 
-    def whole(self, text: str) -> tuple[int, int, str, list[tuple[int, int]]] | None:
-        """n_a, n_b, the groups' ids, and the linked pairs of a text with its space; None if the tokens' bytes aren't the text's."""
+    def whole(self, text: str) -> tuple[int, int, str, bytes] | None:
+        """n_a, n_b, the groups' ids, and the linked pairs (A id << 32 | B id, eight bytes each) of a text with its space; None if the
+        tokens' bytes aren't the text's."""
         a, b = self._ids(text)
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if not b"".join(a_bytes) == b"".join(b_bytes) == text.encode():
+        if not b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b)) == text.encode():
             return None
-        out, links, was_a, was_b = [], [], 0, 0
-        a_names, b_names = [self.a_names[i] for i in a], [self.b_names[i] for i in b]
-        for i, j in groups(list(map(len, a_bytes)), list(map(len, b_bytes))):
+        out, links, was_a, was_b = [], array("q"), 0, 0
+        a_names, b_names = list(map(self.a_names.__getitem__, a)), list(map(self.b_names.__getitem__, b))
+        for i, j in groups(map(self.a_sizes.__getitem__, a), map(self.b_sizes.__getitem__, b)):
             out.append(f"{','.join(a_names[was_a:i])}|{','.join(b_names[was_b:j])}")
-            links.append((a[i - 1], b[j - 1]))
+            links.append(a[i - 1] << 32 | b[j - 1])
             was_a, was_b = i, j
-        return len(a), len(b), ";".join(out), links
+        return len(a), len(b), ";".join(out), links.tobytes()
 
     def sub(self, sub: str):
         if sub in self.known:
@@ -113,26 +115,33 @@ class Aligner:
         found = [self.sub(s) for s in _SUBPARTS.split(" " + part)]
         if None in found:
             return None
-        return sum(x[0] for x in found), sum(x[1] for x in found), ";".join(x[2] for x in found), [y for x in found for y in x[3]]
+        return found[0] if len(found) == 1 else (sum([x[0] for x in found]), sum([x[1] for x in found]), ";".join([x[2] for x in found]), b"".join([x[3] for x in found]))
 
 
 class Parts:
-    """Numbers for the parts that a task meets: the given ones first, then MAX_PARTS others at most; -1 for those whose bytes differ."""
-
-    def __init__(self, aligner: Aligner, given: list[tuple] = ()) -> None:
-        self.aligner, self.given = aligner, len(given)
-        self.number = {r[0]: k for k, r in enumerate(given)}
-        self.strings, self.sizes, self.links = ([r[i] for r in given] for i in (1, 2, 3))
+    """Numbers for the parts that a task meets: the given ones first (part, groups, n_a, n_b and links), then MAX_PARTS others at most; -1 for
+    those whose bytes differ. Sizes and links of the given ones stay columns, as objects they would take most of a worker's memory."""
+
+    def __init__(self, aligner: Aligner, given: pa.Table | None = None) -> None:
+        self.aligner, self.given = aligner, 0 if given is None else given.num_rows
+        self.number, self.strings, self.sizes, self.links, self.others = {}, [], [], [], []
+        self.given_sizes, self.given_links, self.given_ends = np.zeros((0, 3), np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        if self.given:
+            self.number, self.strings = {p: k for k, p in enumerate(given.column("part").to_pylist())}, given.column("groups").to_pylist()
+            links = given.column("links").combine_chunks()
+            self.given_ends, self.given_links = links.offsets.to_numpy() - links.offsets[0].as_py(), links.flatten().to_numpy()
+            self.given_sizes = np.stack([given.column("n_a").to_numpy(), given.column("n_b").to_numpy(), np.diff(self.given_ends)], axis=1)
 
     def full(self) -> bool:
-        return len(self.strings) >= self.given + MAX_PARTS
+        return len(self.others) >= MAX_PARTS
 
     def clear(self) -> None:
         """Keep only what was given."""
-        if len(self.strings) > self.given or self.given < len(self.number):
-            self.number = {p: k for p, k in self.number.items() if 0 <= k < self.given}
-        for x in (self.strings, self.sizes, self.links):
-            del x[self.given :]
+        for part in self.others:
+            del self.number[part]
+        for x in (self.others, self.sizes, self.links):
+            x.clear()
+        del self.strings[self.given :]
 
     def of(self, text: str) -> np.ndarray | None:
         """The numbers of a text's parts; None for a text without tokens."""
@@ -147,13 +156,17 @@ class Parts:
         out = np.array(out, np.int64)
         return None if (out < 0).any() else out
 
+    def linked(self, k: int) -> bytes:
+        """The links of a part, by its number."""
+        return self.links[k - self.given] if k >= self.given else self.given_links[self.given_ends[k] : self.given_ends[k + 1]].tobytes()
+
     def _sub(self, sub: str) -> tuple[str, tuple, bytes] | None:
         """Groups, sizes and links of a subpart, which may be a part that is known."""
         k = self.number.get(sub[1:], -1) if sub[0] == " " else -1
         if k >= 0:
-            return self.strings[k], self.sizes[k], self.links[k]
+            return self.strings[k], self.sizes[k - self.given] if k >= self.given else tuple(self.given_sizes[k].tolist()), self.linked(k)
         found = self.aligner.sub(sub)
-        return found and (found[2], (found[0], found[1], len(found[3])), packed(found[3]))
+        return found and (found[2], (found[0], found[1], len(found[3]) >> 3), found[3])
 
     def _met(self, part: str) -> int:
         n = self.number.get(part)
@@ -162,17 +175,15 @@ class Parts:
             n = -1
             if None not in found:
                 n = len(self.strings)
-                self.strings.append(";".join(x[0] for x in found))
-                self.sizes.append(tuple(map(sum, zip(*(x[1] for x in found), strict=True))))
-                self.links.append(b"".join(x[2] for x in found))
+                strings, sizes, links = found[0] if len(found) == 1 else (";".join([x[0] for x in found]), tuple(map(sum, zip(*[x[1] for x in found], strict=True))), b"".join([x[2] for x in found]))
+                self.strings.append(strings)
+                self.sizes.append(sizes)
+                self.links.append(links)
             self.number[part] = n
+            self.others.append(part)
         return n
 
 
-def packed(links: list[tuple[int, int]]) -> bytes:
-    return np.array([a << 32 | b for a, b in links], np.int64).tobytes()
-
-
 def _aligner(a_path: str, b_path: str) -> Aligner:
     kept = held("align")
     if (a_path, b_path) not in kept:
@@ -199,6 +210,7 @@ def counted_parts(docs: DataFrame) -> DataFrame:
     """part, n over all texts that have tokens, but for those with parts whose bytes differ."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what an earlier run's scans have kept
         n: Counter = Counter()
 
         def out() -> pa.RecordBatch:
@@ -218,13 +230,15 @@ def counted_parts(docs: DataFrame) -> DataFrame:
 
 
 def aligned_parts(counted: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """part, n, groups (null where the bytes differ), n_a, n_b and links (pairs in order)."""
+    """part, n, groups (null where the bytes differ), n_a, n_b and links (pairs in order; none where the bytes differ)."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(a_path, b_path)
         for batch in slices(batches, "part", 1 << 20):
-            found = [aligner.part(p) or (None, None, None, None) for p in batch.column("part").to_pylist()]
-            columns = [pa.array([x[2] for x in found], pa.string()), *(pa.array([x[i] for x in found], pa.int32()) for i in (0, 1)), pa.array([None if x[3] is None else [a << 32 | b for a, b in x[3]] for x in found], pa.list_(pa.int64()))]
+            found = [aligner.part(p) or (None, None, None, b"") for p in batch.column("part").to_pylist()]
+            ends = np.cumsum([0, *[len(x[3]) >> 3 for x in found]]).astype(np.int32)
+            links = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([x[3] for x in found]), np.int64)))
+            columns = [pa.array([x[2] for x in found], pa.string()), *(pa.array([x[i] for x in found], pa.int32()) for i in (0, 1)), links]
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("n"), *columns], ["part", "n", "groups", "n_a", "n_b", "links"])
 
     return staged(counted.mapInArrow(align, "part string, n long, groups string, n_a int, n_b int, links array<long>"), "parts", compression="zstd")
@@ -237,7 +251,7 @@ def _links_by_text(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         met = Parts(_aligner(a_path, b_path))
         for batch in slices(batches, "text", 1 << 20):
             own = [x for x in map(met.of, batch.column("text").to_pylist()) if x is not None]
-            keys, n = np.unique(np.frombuffer(b"".join(met.links[k] for x in own for k in x.tolist()), np.int64), return_counts=True)
+            keys, n = np.unique(np.frombuffer(b"".join([met.linked(k) for x in own for k in x.tolist()]), np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["pair", "n"])
             if met.full():
                 met.clear()
@@ -272,8 +286,7 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
     least, others = least_count(counted, hot)
     rows = counted.where(F.col("n") >= least).orderBy("pair").toArrow()
     least, _ = least_count(found, hot_parts)
-    most = found.where((F.col("n") >= least) & F.col("groups").isNotNull()).toArrow()
-    given = [(p, g, (a, b, len(x)), np.array(x, np.int64).tobytes()) for p, g, a, b, x in zip(*(most.column(c).to_pylist() for c in ("part", "groups", "n_a", "n_b", "links")), strict=True)]
+    given = found.where((F.col("n") >= least) & F.col("groups").isNotNull()).drop("n").toArrow().combine_chunks()
     sc, name = docs.sparkSession.sparkContext, uuid.uuid4().hex
     hot_pairs, hot_given = sc.broadcast([rows.column(c).to_numpy() for c in ("pair", "n", "best")]), sc.broadcast(given)
     schema = f"doc_id long, {_FOUND}, groups string, others array<long>"
@@ -285,17 +298,19 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
 
         def known() -> np.ndarray:
             """sums with a row for each part: its sizes, best links and their counts; rare: its pairs that aren't hot."""
-            fresh = range(len(sums), len(met.links))
-            if not fresh:
+            was = len(sums)
+            if was == len(met.strings):
                 return sums
-            size = np.array([len(met.links[k]) // 8 for k in fresh])
-            keys, which = np.frombuffer(b"".join(met.links[k] for k in fresh), np.int64), np.repeat(np.arange(len(size)), size)
+            size, keys = np.array([len(x) >> 3 for x in met.links[max(0, was - met.given) :]], np.int64), np.frombuffer(b"".join(met.links[max(0, was - met.given) :]), np.int64)
+            if was < met.given:  # the given ones are worked out all at once
+                size, keys = np.concatenate((met.given_sizes[:, 2], size)), np.concatenate((met.given_links, keys))
+            which = np.repeat(np.arange(len(size)), size)
             at = np.minimum(np.searchsorted(pairs, keys), max(0, len(pairs) - 1))
             there = pairs[at] == keys if len(pairs) else np.zeros(len(keys), bool)
             for k in np.flatnonzero(~there).tolist():
-                rare.setdefault(fresh[which[k]], []).append(int(keys[k]))
+                rare.setdefault(was + int(which[k]), []).append(int(keys[k]))
             more = np.zeros((len(size), 5), np.int64)
-            more[:, :3] = [met.sizes[k] for k in fresh]
+            more[:, :3] = np.concatenate([met.given_sizes[was:], np.array(met.sizes[max(0, was - met.given) :], np.int64).reshape(-1, 3)])
             np.add.at(more[:, 3], which[there], best[at[there]])
             np.add.at(more[:, 4], which[there], n[at[there]])
             return np.concatenate((sums, more))

@@ -5,6 +5,7 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -105,3 +106,26 @@ def test_groups_and_empty_table(spark):
     got = {r.doc_id: r.groups for r in align.aligned(docs, with_groups=True).collect()}
     assert got == {1: spelled(brute_groups("Hello, there")), None: ""}
     assert align.aligned(docs.limit(0)).count() == 0
+
+
+def test_given_and_kept_parts_take_little_memory():
+    """Links lie packed, and given parts in columns: tuples of ids for each part took several times as much."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    names = [f"word{k}" for k in range(20_000)]
+    aligner = align.Aligner(*align._paths(None, None))
+    tracemalloc.start()
+    try:
+        found = [aligner.part(p) for p in names]
+        kept = tracemalloc.get_traced_memory()[0] / len(names)
+        links = pa.array([np.frombuffer(x[3], np.int64) for x in found], pa.list_(pa.int64()))
+        given = pa.table({"part": names, "groups": [x[2] for x in found], "n_a": [x[0] for x in found], "n_b": [x[1] for x in found], "links": links})
+        before = tracemalloc.get_traced_memory()[0]
+        met = align.Parts(aligner, given)
+        taken = (tracemalloc.get_traced_memory()[0] - before) / len(names)
+    finally:
+        tracemalloc.stop()
+    assert met.of("word7 word9").tolist() == [7, 9] and met.linked(7) == found[7][3]
+    assert kept < 600 and taken < 400, (kept, taken)
