@@ -179,15 +179,18 @@ def _summed(hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return hi[first], lo[first], np.add.reduceat(n, first)
 
 
-def _looked_up(hi: np.ndarray, lo: np.ndarray, values: np.ndarray, asked_hi: np.ndarray, asked_lo: np.ndarray) -> np.ndarray:
-    """The values of the n-grams asked for, all of which are among the given ones (each given once)."""
-    asked = np.repeat([False, True], [len(hi), len(asked_hi)])
-    order = np.lexsort((asked, np.concatenate((lo, asked_lo)), np.concatenate((hi, asked_hi))))
-    asked = asked[order]
-    given = order[~asked][np.cumsum(~asked) - 1][asked]
-    out = np.empty(len(asked_hi), values.dtype)
-    out[order[asked] - len(hi)] = values[given]
-    return out
+def _index(hi: np.ndarray, lo: np.ndarray, values: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """What looks up the values of n-grams, all of which must be among the given ones (each given once). These are sorted once: an n-gram is the
+    rank of its hi and the rank of its lo, in one number."""
+    highs, lows = np.unique(hi), np.unique(lo)
+
+    def key(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        return np.searchsorted(highs, hi) << 32 | np.searchsorted(lows, lo)
+
+    keys = key(hi, lo)
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    return lambda hi, lo: values[np.searchsorted(keys, key(hi, lo))]
 
 
 def _packed(**columns) -> bytes:
@@ -268,11 +271,11 @@ def _counts(group: pa.Table) -> pa.Table:
 
 def _joined(asked: pa.Table, known: pa.Table) -> pa.Table:
     """One shard: for each part its n-grams with their log-probabilities."""
-    given = [known.column(c).to_numpy() for c in ("hi", "lo", "logp")]
+    given = _index(*(known.column(c).to_numpy() for c in ("hi", "lo", "logp")))
     out = []
     for data in asked.column("data").to_pylist():
         hi, lo = _numbers([data], "hi", "lo")
-        out.append(_packed(hi=hi, lo=lo, logp=_looked_up(*given, hi, lo)))
+        out.append(_packed(hi=hi, lo=lo, logp=given(hi, lo)))
     return pa.table({"part": asked.column("part"), "data": pa.array(out, pa.binary())})
 
 
@@ -313,12 +316,12 @@ def perplexities(marked: DataFrame, shards: int) -> DataFrame:
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
         folded = np.zeros(GRAMS, np.float32)
         folded[sent.value[0]] = sent.value[1]
-        given = _numbers(known.column("data").to_pylist(), "hi", "lo", "logp")
+        given = _index(*_numbers(known.column("data").to_pylist(), "hi", "lo", "logp"))
         out = []
         for batch in map(_unpacked, texts.column("data").to_pylist()):
             own = batch.column("text").to_pylist()
             hi, lo, which, sizes = full_grams(own)
-            values = (folded[grams(own)[0]], _looked_up(*given, hi, lo)[which])
+            values = (folded[grams(own)[0]], given(hi, lo)[which])
             means = [np.add.reduceat(v.astype(np.float64), np.cumsum(sizes) - sizes) / sizes for v in values]
             out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(sizes), *(pa.array(np.exp(-m)) for m in means)], ["doc_id", "lang", "n_symbols", "perplexity", "full_perplexity"]))
         return pa.Table.from_batches(out)

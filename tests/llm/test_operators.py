@@ -787,3 +787,16 @@ def test_edits_between_common_ends_and_letters_by_table(monkeypatch):
         m.setattr(edits.np, "unique", lambda *_, **__: 1 / 0)
         found = edits.distances(latin)
     assert found == [edits_of(x, y) for x, y in latin]
+
+
+def test_ngrams_are_sorted_once_for_all_lookups(monkeypatch):
+    """Known n-grams are sorted once; each lookup sorted them again, together with those asked for."""
+    rng = np.random.default_rng(4)
+    hi, lo = (x.ravel() for x in np.meshgrid(rng.integers(0, 1 << 42, 60), rng.integers(0, 1 << 62, 80)))
+    order = rng.permutation(len(hi))
+    hi, lo = hi[order], lo[order]
+    find = quality._index(hi, lo, np.arange(len(hi)))
+    for name in ("sort", "argsort", "lexsort", "unique"):
+        monkeypatch.setattr(quality.np, name, lambda *_, **__: 1 / 0)
+    for asked in (np.arange(len(hi)), rng.integers(0, len(hi), 500), np.zeros(0, np.int64)):
+        assert (find(hi[asked], lo[asked]) == asked).all()
