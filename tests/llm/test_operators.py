@@ -800,3 +800,55 @@ def test_ngrams_are_sorted_once_for_all_lookups(monkeypatch):
         monkeypatch.setattr(quality.np, name, lambda *_, **__: 1 / 0)
     for asked in (np.arange(len(hi)), rng.integers(0, len(hi), 500), np.zeros(0, np.int64)):
         assert (find(hi[asked], lo[asked]) == asked).all()
+
+
+def test_lines_of_a_block_are_compared_many_at_once(monkeypatch):
+    """Near lines of a block are found for many lines at once (line by line before), and the same ones."""
+    rng = np.random.default_rng(8)
+    for n, size in ((0, 9), (1, 9), (90, 1 << 16), (90, 200), (90, 20)):
+        length = rng.integers(20, 60, n)
+        length[:3] = lines._MOST
+        place = np.where(rng.random(n) < 0.1, lines._MOST, rng.integers(0, 20, n))
+        meta, fp = length << 20 | place, rng.integers(0, 1 << 63, (2, n), dtype=np.uint64)
+        fp[:, n // 3 :] = fp[:, :1]
+        want = np.zeros((n, n), bool)
+        for i in range(n):
+            for j in range(i + 1, n):
+                want[i, j] = lines.near(meta[i : i + 1], meta[j : j + 1], fp[:, i : i + 1], fp[:, j : j + 1], 0.8)[0]
+        calls = []
+        with monkeypatch.context() as m:
+            m.setattr(lines, "SLAB", size)
+            m.setattr(lines, "near", lambda *a, f=lines.near: calls.append(1) or f(*a))
+            assert (lines._near_matrix(meta, fp, 0.8) == want).all()
+        assert len(calls) <= 1 or size < n * n
+
+
+def test_lines_near_by_chance_are_listed_once(monkeypatch):
+    """Lines of which a small part of all pairs is near, though more than DEGREE for each, are listed as pairs: they went in chunks, compared anew in every block."""
+    n = 200
+    near = np.triu(np.random.default_rng(2).random((n, n)) < 0.25, 1)
+    assert near.sum() > lines.DEGREE * n
+    monkeypatch.setattr(lines, "_near_matrix", lambda *_: near)
+    rows = [np.full(n, 7), np.arange(n) + 100 << 20, np.arange(n) * 3, np.zeros(n, np.int64), np.zeros(n, np.int64)]
+    found = pa.Table.from_batches(lines._meeting(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in rows], list(lines._ROW))]), 0.8)).to_pydict()
+    assert set(found["chunk"]) == {None}
+    assert set(zip(found["a"], found["b"], strict=True)) == {(3 * int(i), 3 * int(j)) for i, j in zip(*np.nonzero(near), strict=True)}
+
+
+def test_missing_words_end_the_search_for_common_ones(monkeypatch):
+    monkeypatch.setattr(edits, "_increasing", lambda *_: 1 / 0)
+    assert edits.at_most("a word that is not there", "other words in the same line of text", 5) > 5
+
+
+def test_vectors_of_many_texts_are_summed_at_once(monkeypatch):
+    """One product for many texts (one for each before), with the same sums."""
+    rng = random.Random(9)
+    p = langid.Profiles()
+    found = [p.grams(t) for t in [prose(rng, rng.randint(1, 300)) for _ in range(50)] + ["", "ü", "日本語の文", "x" * 3000]]
+    want = np.array([p.bundle(*x) for x in found])
+    monkeypatch.setattr(langid, "TOGETHER", 20)
+    with monkeypatch.context() as m:
+        m.setattr(p, "bundle", lambda *_: 1 / 0)
+        assert (p.bundles(found) == want).all()
+    monkeypatch.setattr(langid, "EXACT", 1000)
+    assert (p.bundles(found) == want).all() and p.bundles([]).shape == (0, langid.DIMENSIONS)
