@@ -20,6 +20,8 @@ from cairn.llm.common import documents, held, set_aside, slices, staged, table
 DIMENSIONS, SEED, MAX_GRAMS = 1024, 20_011, 20_000
 #: For reject(): a text is in none of the languages if its best cosine is below MARGIN times this quantile of those of the labelled texts with as many trigrams (up to a factor of two).
 LEAST_QUANTILE, MARGIN = 0.001, 0.8
+#: Texts whose vectors are summed at once, and the least number of trigrams of a text whose sums single precision might round.
+TOGETHER, EXACT = 128, 1 << 24
 
 
 class Profiles:
@@ -50,22 +52,45 @@ class Profiles:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.unique((x[:-2] << 42) | (x[1:-1] << 21) | x[2:], return_counts=True)
 
+    def _rows(self, part: list[int]) -> np.ndarray:
+        """The trigrams' rows of the matrix."""
+        if len(self.rows) + len(part) > MAX_GRAMS:
+            self.rows.clear()
+        for g in part:
+            if g not in self.rows:
+                k = self.rows[g] = len(self.rows)
+                a, b, c = g >> 42, (g >> 21) & 0x1FFFFF, g & 0x1FFFFF
+                self.matrix[k] = np.roll(self._letter(a), 2) * np.roll(self._letter(b), 1) * self._letter(c)
+        return np.fromiter(map(self.rows.__getitem__, part), np.int64, len(part))
+
     def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Sum of the trigrams' vectors, each times its count."""
         out = np.zeros(DIMENSIONS)
         for at in range(0, len(grams), 4096):
-            part = grams[at : at + 4096].tolist()
-            if len(self.rows) + len(part) > MAX_GRAMS:
-                self.rows.clear()
-            for g in part:
-                if g not in self.rows:
-                    k = self.rows[g] = len(self.rows)
-                    a, b, c = g >> 42, (g >> 21) & 0x1FFFFF, g & 0x1FFFFF
-                    self.matrix[k] = np.roll(self._letter(a), 2) * np.roll(self._letter(b), 1) * self._letter(c)
-            rows = np.fromiter(map(self.rows.__getitem__, part), np.int64, len(part))
+            rows = self._rows(grams[at : at + 4096].tolist())
             out += counts[at : at + 4096].astype(np.float32) @ self.matrix[rows].astype(np.float32)
         return out
 
+    def bundles(self, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """As bundle(), of TOGETHER texts at once, which share most of their trigrams: one product of matrices for all. The sums are whole numbers that
+        single precision holds; texts that might have larger ones go one by one."""
+        out = np.zeros((len(found), DIMENSIONS))
+        large = [k for k, (_, counts) in enumerate(found) if counts.sum() >= EXACT]
+        for k in large:
+            out[k] = self.bundle(*found[k])
+        own = np.array([k for k in range(len(found)) if k not in set(large)], np.int64)
+        for at in range(0, len(own), TOGETHER):
+            some = own[at : at + TOGETHER]
+            grams, column = np.unique(np.concatenate([found[k][0] for k in some]), return_inverse=True)
+            counts, row = np.concatenate([found[k][1] for k in some]), np.repeat(np.arange(len(some)), [len(found[k][0]) for k in some])
+            for low in range(0, len(grams), 4096):
+                here = (column >= low) & (column < low + 4096)
+                rows = self._rows(grams[low : low + 4096].tolist())
+                table = np.zeros((len(some), len(rows)), np.float32)
+                table[row[here], column[here] - low] = counts[here]
+                out[some] += table @ self.matrix[rows].astype(np.float32)
+        return out
+
 
 def profiles() -> Profiles:
     kept = held("profiles")
@@ -78,10 +103,9 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each language of a task: the sum of its texts' profiles, each at equal weight."""
     p, sums = profiles(), {}
     for batch in slices(batches, "text", 2 << 20):
-        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-            grams, counts = p.grams(text)
+        found = list(map(p.grams, batch.column("text").to_pylist()))
+        for (grams, _), x, lang in zip(found, p.bundles(found), batch.column("lang").to_pylist(), strict=True):
             if len(grams):
-                x = p.bundle(grams, counts)
                 sums[lang] = sums.get(lang, 0) + np.rint(x * (1e6 / (np.linalg.norm(x) or 1))).astype(np.int64)
     if sums:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], ["lang", "bundle"])
@@ -109,11 +133,10 @@ def identify(docs: DataFrame, learned: tuple[list[str], np.ndarray]) -> DataFram
         p = profiles()
         for batch in slices(batches, "text", 2 << 20):
             best, score, sizes = [], [], []
-            for text in batch.column("text").to_pylist():
-                grams, counts = p.grams(text or "")
-                x = p.bundle(grams, counts) if len(grams) and langs else None
+            found = [p.grams(text or "") for text in batch.column("text").to_pylist()]
+            for (grams, counts), x in zip(found, p.bundles(found if langs else [(g[:0], c[:0]) for g, c in found]), strict=True):
                 sizes.append(int(counts.sum()))
-                if x is None:
+                if not len(grams) or not langs:
                     best.append("und")
                     score.append(0.0)
                     continue
