@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = re.compile(r"[\x21-\x7e¡-ɏ]+")
 #: Texts that can be lower-cased as a whole, and punctuation that is a piece of its own after a letter and before white space.
-_COMMON, _CLOSING = re.compile(r"[\x00-\x7e¡-įı-ɏ]*"), re.compile(r"(?<=[a-z])[.,;:!?](?=\s)")
+_COMMON, _CLOSING = re.compile(r"[\x00-\x7e¡-įı-ɏ]*"), re.compile(r"[.,;:!?](?<=[a-z].)(?=\s)")
 #: Separators of Python's split() that the tokenizer doesn't take for white space.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Words and pieces of them that a generation of the cache holds. A full one becomes the old one, from which what is met again is taken over.
@@ -79,7 +79,13 @@ class WordTokenizer:
     def _met(self, word: str) -> bytes:
         """The ids of a word that is not among the latest ones."""
         found = self.known.get(word) or self.old.get(word)
-        return self._kept(word, self._word(word) if found is None else found)
+        if found is None:
+            if word.islower() and word.isascii() and word.isalpha():  # most of them: all that _word() would do
+                names = self.names
+                found = b"".join([names[t.id] for t in self.tokenize(word)])
+            else:
+                found = self._word(word)
+        return self._kept(word, found)
 
     def _kept(self, word: str, found: bytes) -> bytes:
         if len(word) <= 40:

@@ -852,3 +852,15 @@ def test_vectors_of_many_texts_are_summed_at_once(monkeypatch):
         assert (p.bundles(found) == want).all()
     monkeypatch.setattr(langid, "EXACT", 1000)
     assert (p.bundles(found) == want).all() and p.bundles([]).shape == (0, langid.DIMENSIONS)
+
+
+def test_closing_punctuation_and_plain_words_take_the_short_way(monkeypatch):
+    """A lower-case word goes to the vocabulary at once; the pattern of closing punctuation begins with what it looks for."""
+    from cairn.llm import tokens
+
+    assert tokens._CLOSING.pattern.startswith("[.,;:!?]")
+    assert tokens._CLOSING.sub(r" \g<0>", "a. b, .c ). d.. é. x.\ny!") == "a . b , .c ). d.. é. x .\ny!"
+    one = WordTokenizer(packing.public_tokenizers.path(packing.VOCABULARY))
+    want = one._encode("plain lower words")
+    monkeypatch.setattr(one, "_word", lambda _: 1 / 0)
+    assert one.ids("plain lower words") == want
