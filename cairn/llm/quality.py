@@ -1,8 +1,9 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 The model that decides is made of n-grams of FULL_ORDER letters of the whole alphabet, as they stand: nothing is folded, so its table grows with the
-corpus and is never in one place. Texts go in parts of about PART letters. A part's different n-grams are sent once, dealt into shards by n-gram;
-counts are summed and log-probabilities joined to the n-grams of every part shard by shard, and come back to the part that holds the texts. A document is
+corpus and is never in one place. Texts go in parts of about PART bytes, dealt by a hash of id and text. A part's different n-grams are sent once, dealt into shards by n-gram;
+counts are summed and log-probabilities joined to the n-grams of every part shard by shard, and come back to the part that holds the texts. These are shuffled for either step, compressed one by
+one, and are not kept between. A document is
 kept if its perplexity is within a quantile of the trusted documents of its language.
 
 Beside it stands a small model of order ORDER = 4 on 64 folded symbols, whose table never has more than 64^4 rows and is broadcast. Its
@@ -14,11 +15,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import documents, release_shuffles, slices, staged, table
+from cairn.llm.common import documents, release_shuffles, staged, table, unstaged
 
 ORDER, SYMBOL_BITS, QUANTILE = 4, 6, 0.99
 SYMBOLS, GRAMS = 1 << SYMBOL_BITS, 1 << SYMBOL_BITS * ORDER
@@ -26,7 +26,7 @@ SYMBOLS, GRAMS = 1 << SYMBOL_BITS, 1 << SYMBOL_BITS * ORDER
 FULL_ORDER, CODE_BITS = 5, 21
 #: The least discount: where counts are few, the estimate may be 0.
 LEAST = 0.1
-#: Letters of a part (a longer text is a part of its own), letters taken at once, and bytes of text for each shard of n-grams.
+#: Bytes of text of a part, bytes taken at once, and bytes of text for each shard of n-grams.
 PART, SLICE, SHARD_BYTES = 16 << 20, 1 << 20, 32 << 20
 #: Punctuation that shares a symbol, in symbol order from 28 on: fixed values.
 _PUNCTUATION = (".", ",", "'`", "-", '"', ":;", "!?", "()[]{}", "#", "*", "&", "%", "$", "@", "/\\|", "_", "=+~^", "<>")
@@ -67,26 +67,6 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out[own], sizes + 1
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's n-grams with their counts in trusted texts, 0 where they are in others only."""
-    counts, present = np.zeros(GRAMS, np.int32), np.zeros(GRAMS, bool)
-    for batch in slices(batches, "text", 4 << 20):
-        found, sizes = grams(batch.column("text").to_pylist())
-        trusted = np.repeat(batch.column("trusted").to_numpy(zero_copy_only=False), sizes)
-        present[found] = True
-        which, n = np.unique(found[trusted], return_counts=True)
-        if len(which) and int(counts[which].max()) > (1 << 31) - 1 - int(n.max()):
-            yield _rows(counts, present)
-            counts[:] = 0
-        counts[which] += n.astype(np.int32)
-    yield _rows(counts, present)
-
-
-def _rows(counts: np.ndarray, present: np.ndarray) -> pa.RecordBatch:
-    at = np.flatnonzero(present)
-    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["g", "c"])
-
-
 def _discounts(counts: DataFrame, least: float) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts for counts of one, two, and three or more, and least at least."""
     n = counts.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()
@@ -211,54 +191,59 @@ def _numbers(rows: list[bytes], *names: str) -> list[np.ndarray]:
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed one by one, so that marking them shuffles less."""
+    """Texts compressed one by one, so that dealing them into parts shuffles less."""
     for batch in batches:
         sizes, zipped = [], []
         for t in batch.column("text").to_pylist():
             raw = t.encode()
             sizes.append(len(raw))
             zipped.append(pa.compress(raw, "zstd", asbytes=True))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(sizes, pa.int64()), pa.array(zipped, pa.binary())], ["doc_id", "lang", "size", "zipped"])
-
-
-def _parted(shards: int):
-    """Rows of parts: packed texts (shard null), and packed n-grams by shard with their counts in trusted texts."""
-
-    def rows(part: int, found: list[tuple]) -> pa.RecordBatch:
-        hi, lo, n = _summed(*map(np.concatenate, zip(*found, strict=True)))
-        shard = _shard(hi, lo, shards)
-        order = np.argsort(shard, kind="stable")
-        own = [(k, x) for k, x in enumerate(np.split(order, np.searchsorted(shard[order], np.arange(1, shards)))) if len(x)]
-        return batch([part] * len(own), [k for k, _ in own], [_packed(hi=hi[x], lo=lo[x], n=n[x]) for _, x in own])
-
-    def batch(part: list, shard: list, data: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(shard, pa.int64()), pa.array(data, pa.binary())], ["part", "shard", "data"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, found, size = TaskContext.get().partitionId() << 32, [], 0
-        for zipped in batches:
-            sizes = np.cumsum(zipped.column("size").to_numpy())
-            cuts = np.searchsorted(sizes, np.arange(SLICE, int(sizes[-1]) if len(sizes) else 0, SLICE)).tolist()
-            for at, to in zip([0, *cuts], [*cuts, zipped.num_rows], strict=True):
-                some = zipped.slice(at, to - at)
-                if not some.num_rows:
-                    continue
-                texts = [pa.decompress(z, n, "zstd", asbytes=True).decode() for z, n in zip(some.column("zipped").to_pylist(), some.column("size").to_pylist(), strict=True)]
-                trusted = some.column("trusted").to_numpy(zero_copy_only=False)
-                hi, lo, which, n = full_grams(texts)
-                found.append((hi, lo, np.bincount(which[np.repeat(trusted, n)], minlength=len(hi))))
-                yield batch([part], [None], [_packed(doc_id=some.column("doc_id"), lang=some.column("lang"), text=pa.array(texts, pa.string()), trusted=some.column("trusted"))])
-                size += int(n.sum())
-                if size >= PART:
-                    yield rows(part, found)
-                    part, found, size = part + 1, [], 0
-        if found:
-            yield rows(part, found)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc_id", "lang")), pa.array(sizes, pa.int64()), pa.array(zipped, pa.binary())], ["part", "doc_id", "lang", "size", "zipped"])
+
+
+def _slices(zipped: pa.Table) -> Iterator[tuple[pa.Table, list[str]]]:
+    """Rows of about SLICE bytes of text together, and their texts."""
+    sizes = np.cumsum(zipped.column("size").to_numpy())
+    cuts = np.searchsorted(sizes, np.arange(SLICE, int(sizes[-1]) if len(sizes) else 0, SLICE)).tolist()
+    for at, to in zip([0, *cuts], [*cuts, zipped.num_rows], strict=True):
+        some = zipped.slice(at, to - at)
+        if some.num_rows:
+            yield some, [pa.decompress(z, n, "zstd", asbytes=True).decode() for z, n in zip(some.column("zipped").to_pylist(), some.column("size").to_pylist(), strict=True)]
+
+
+def _by_shard(found: list[tuple], shards: int) -> tuple:
+    """A part's n-grams, each once and in order, with the sums of their counts, and for each shard the places of its own."""
+    hi, lo, n = _summed(*map(np.concatenate, zip(*found, strict=True)))
+    shard = _shard(hi, lo, shards)
+    order = np.argsort(shard, kind="stable")
+    return hi, lo, n, np.split(order, np.searchsorted(shard[order], np.arange(1, shards)))
+
+
+def _counted(shards: int):
+    """Of a part's texts and the ids of those that are trusted: its different n-grams by shard, packed, with their counts in trusted texts (0 where they are in others
+    only), and the folded ones (shard null)."""
+
+    def run(zipped: pa.Table, ids: pa.Table) -> pa.Table:
+        part, found, folded = zipped.column("part")[0].as_py(), [], []
+        known = np.unique(ids.column("doc_id").to_numpy())
+        for some, texts in _slices(zipped):
+            own = some.column("doc_id")
+            trusted = np.isin(own.fill_null(0).to_numpy(), known) & own.is_valid().to_numpy()
+            hi, lo, which, n = full_grams(texts)
+            found.append((hi, lo, np.bincount(which[np.repeat(trusted, n)], minlength=len(hi))))
+            which, n = grams(texts)
+            g, which = np.unique(which, return_inverse=True)
+            folded.append((np.zeros(len(g), np.int64), g.astype(np.int64), np.bincount(which[np.repeat(trusted, n)], minlength=len(g))))
+        hi, lo, n, places = _by_shard(found, shards)
+        own = [(k, x) for k, x in enumerate(places) if len(x)]
+        _, g, c = _summed(*map(np.concatenate, zip(*folded, strict=True)))
+        data = [*[_packed(hi=hi[x], lo=lo[x], n=n[x]) for _, x in own], _packed(g=g.astype(np.int32), c=c)]
+        return pa.table({"part": pa.array([part] * len(data), pa.int64()), "shard": pa.array([*[k for k, _ in own], None], pa.int64()), "data": pa.array(data, pa.binary())})
 
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _folded_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from map(_unpacked, batch.column("data").to_pylist())
 
@@ -270,31 +255,33 @@ def _counts(group: pa.Table) -> pa.Table:
 
 
 def _joined(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """One shard: for each part its n-grams with their log-probabilities."""
+    """One shard: for each part the log-probabilities of its n-grams, in their order; the part finds the n-grams anew."""
     given = _index(*(known.column(c).to_numpy() for c in ("hi", "lo", "logp")))
     out = []
     for data in asked.column("data").to_pylist():
         hi, lo = _numbers([data], "hi", "lo")
-        out.append(_packed(hi=hi, lo=lo, logp=given(hi, lo)))
-    return pa.table({"part": asked.column("part"), "data": pa.array(out, pa.binary())})
+        out.append(_packed(logp=given(hi, lo)))
+    return pa.table({"part": asked.column("part"), "shard": asked.column("shard"), "data": pa.array(out, pa.binary())})
 
 
 def full_model(parts: DataFrame, shards: int) -> DataFrame:
-    """parts: as _parted() makes them. part, data: for each part and shard the n-grams and their log-probabilities."""
+    """parts: as _counted() makes them. part, shard, data: the log-probabilities of the n-grams that a part has of a shard. The parts' rows go when they are joined."""
     asked = parts.where("shard is not null")
     summed = staged(asked.groupBy("shard").applyInArrow(_counts, "hi long, lo long, c long"), "counts")
     release_shuffles(parts.sparkSession)
     logp = staged(log_probabilities(summed.select(F.struct("hi", "lo").alias("g"), "c"), FULL_ORDER, _full_last, _full_before, None, LEAST), "probabilities")
     known = logp.select(_shard(F.col("g.hi"), F.col("g.lo"), shards).alias("shard"), "g.hi", "g.lo", "logp")
-    found = staged(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_joined, "part long, data binary"), "joined")
+    found = staged(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_joined, "part long, shard long, data binary"), "joined")
+    for done in (parts, summed, logp):
+        unstaged(done)
     release_shuffles(parts.sparkSession)
     return found
 
 
-def model(docs: DataFrame) -> np.ndarray:
-    """docs: text, trusted. Log-probability of each folded n-gram that occurs in any text, by its number; GRAMS at most."""
-    counts = staged(docs.mapInArrow(_counted, "g int, c long").groupBy("g").agg(F.sum("c").alias("c")), "counts")
-    found = log_probabilities(counts).toArrow()
+def model(parts: DataFrame) -> np.ndarray:
+    """parts: as _counted() makes them. Log-probability of each folded n-gram that occurs in any text, by its number; GRAMS at most."""
+    own = parts.where("shard is null").select("data").mapInArrow(_folded_counts, "g int, c long")
+    found = log_probabilities(staged(own.groupBy("g").agg(F.sum("c").alias("c")), "counts")).toArrow()
     out = np.zeros(GRAMS, np.float32)
     out[found.column("g").to_numpy()] = found.column("logp").to_numpy()
     return out
@@ -303,30 +290,40 @@ def model(docs: DataFrame) -> np.ndarray:
 _SCORED = "doc_id long, lang string, n_symbols long, perplexity double, full_perplexity double"
 
 
-def perplexities(marked: DataFrame, shards: int) -> DataFrame:
-    """marked: doc_id, lang, size, zipped, trusted. doc_id, lang, n_symbols, and both models' perplexity."""
-    parts = staged(marked.mapInArrow(_parted(shards), "part long, shard long, data binary"), "parts")
-    release_shuffles(marked.sparkSession)
-    texts = parts.where("shard is null").select("part", "data")
-    folded = model(texts.mapInArrow(_texts, "doc_id long, lang string, text string, trusted boolean").select("text", "trusted"))
+def perplexities(dealt: DataFrame, trusted: DataFrame, shards: int) -> DataFrame:
+    """dealt: part, doc_id, lang, text; trusted: id. doc_id, lang, n_symbols, and both models' perplexity."""
+    zipped = dealt.mapInArrow(_zipped, "part long, doc_id long, lang string, size long, zipped binary")
+    # one plan at every size: where the labels are few, a broadcast would hide the shuffle that many have
+    ids = dealt.select("part", "doc_id").join(trusted.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
+    parts = staged(zipped.groupBy("part").cogroup(ids.groupBy("part")).applyInArrow(_counted(shards), "part long, shard long, data binary"), "parts")
+    release_shuffles(dealt.sparkSession)
+    folded = model(parts)
     there = np.flatnonzero(folded)
-    sent = marked.sparkSession.sparkContext.broadcast((there, folded[there]))  # 12 * GRAMS bytes at most; a dense table would be 64 MiB on every disk
-    found = full_model(parts, shards)
+    sent = dealt.sparkSession.sparkContext.broadcast((there, folded[there]))  # 12 * GRAMS bytes at most; a dense table would be 64 MiB on every disk
+    joined = full_model(parts, shards)
 
-    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+    def score(zipped: pa.Table, known: pa.Table) -> pa.Table:
         folded = np.zeros(GRAMS, np.float32)
         folded[sent.value[0]] = sent.value[1]
-        given = _index(*_numbers(known.column("data").to_pylist(), "hi", "lo", "logp"))
-        out = []
-        for batch in map(_unpacked, texts.column("data").to_pylist()):
-            own = batch.column("text").to_pylist()
+        out, kept, found = [], [], []
+
+        def means(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+            return pa.array(np.exp(-(np.add.reduceat(values.astype(np.float64), np.cumsum(sizes) - sizes) / sizes)))
+
+        for some, own in _slices(zipped):
             hi, lo, which, sizes = full_grams(own)
-            values = (folded[grams(own)[0]], given(hi, lo)[which])
-            means = [np.add.reduceat(v.astype(np.float64), np.cumsum(sizes) - sizes) / sizes for v in values]
-            out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(sizes), *(pa.array(np.exp(-m)) for m in means)], ["doc_id", "lang", "n_symbols", "perplexity", "full_perplexity"]))
-        return pa.Table.from_batches(out)
+            found.append((hi, lo, np.zeros(len(hi), np.int64)))
+            kept.append((some, which.astype(np.int32), sizes, means(folded[grams(own)[0]], sizes)))
+        hi, lo, _, places = _by_shard(found, shards)
+        logp = np.zeros(len(hi), np.float32)
+        for shard, data in zip(known.column("shard").to_pylist(), known.column("data").to_pylist(), strict=True):
+            logp[places[shard]] = _unpacked(data).column("logp").to_numpy()
+        given = _index(hi, lo, logp)
+        for (some, which, sizes, plain), (hi, lo, _) in zip(kept, found, strict=True):
+            out.append(pa.table([some.column("doc_id"), some.column("lang"), pa.array(sizes), plain, means(given(hi, lo)[which], sizes)], ["doc_id", "lang", "n_symbols", "perplexity", "full_perplexity"]))
+        return pa.concat_tables(out)
 
-    return texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(score, _SCORED)
+    return zipped.groupBy("part").cogroup(joined.groupBy("part")).applyInArrow(score, _SCORED)
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -337,10 +334,8 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Da
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
     source = documents(docs, F.col("lang").cast("string").alias("lang"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    zipped = source.mapInArrow(_zipped, "doc_id long, lang string, size long, zipped binary")
-    # one plan at every size: where the labels are few, a broadcast would hide that the texts are shuffled once
-    marked = zipped.join(trusted.hint("merge"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "lang", "size", "zipped", F.col("id").isNotNull().alias("trusted"))
-    scored = staged(perplexities(marked, max(16, size // SHARD_BYTES)), "perplexities")
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // PART))))
+    scored = staged(perplexities(source.select(part.alias("part"), "doc_id", "lang", "text"), trusted, max(16, size // SHARD_BYTES)), "perplexities")
     known = scored.join(trusted, F.col("doc_id") == F.col("id"), "left_semi")
     limits = known.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("full_perplexity", quantile, 100_000).alias("threshold"))
     out = scored.join(limits, F.col("lang").eqNullSafe(F.col("l")), "left")

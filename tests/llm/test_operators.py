@@ -864,3 +864,31 @@ def test_closing_punctuation_and_plain_words_take_the_short_way(monkeypatch):
     want = one._encode("plain lower words")
     monkeypatch.setattr(one, "_word", lambda _: 1 / 0)
     assert one.ids("plain lower words") == want
+
+
+def test_quality_keeps_no_text_between_its_steps(spark, tables, monkeypatch):
+    """Parts are dealt by id and text, and keep n-grams only (they kept the texts as well, which then lay on disk twice); with many parts results are those of one."""
+    rng = random.Random(4)
+    docs = [(k if k % 9 else None, prose(rng, rng.randint(0, 60)), "en", "s", 1) for k in range(90)] + [(3, None, None, None, None)]
+    path = tables(docs, labels=[(k, int(k % 2), 0) for k in range(90)])
+    kept = {}
+    monkeypatch.setattr(quality, "staged", lambda df, name, f=quality.staged, **o: kept.setdefault(name, f(df, name, **o)) if name in ("parts", "joined") else f(df, name, **o))
+    monkeypatch.setattr(quality, "unstaged", lambda _: None)
+    one = sorted(map(str, QUERIES["op7_quality"](spark, path).collect()))
+    assert kept["parts"].select("part").distinct().count() == 1 and len(one) == len(docs)
+    names = {n for r in kept.pop("parts").collect() for n in quality._unpacked(r["data"]).schema.names}
+    assert names == {"hi", "lo", "n", "g", "c"}
+    assert {n for r in kept.pop("joined").collect() for n in quality._unpacked(r["data"]).schema.names} == {"logp"}
+    monkeypatch.setattr(quality, "PART", 1000)
+    monkeypatch.setattr(quality, "SLICE", 300)
+    many = sorted(map(str, QUERIES["op7_quality"](spark, path).collect()))
+    assert kept["parts"].select("part").distinct().count() > 5 and many == one
+
+
+def test_quality_deletes_what_it_has_joined(spark, tables, monkeypatch):
+    kept = []
+    monkeypatch.setattr(quality, "staged", lambda df, name, f=quality.staged, **o: kept.append((name, f(df, name, **o))) or kept[-1][1])
+    docs = [(k, "some text", "en", "s", 1) for k in range(5)]
+    assert len(QUERIES["op7_quality"](spark, tables(docs, labels=[(1, 1, 0)])).collect()) == 5
+    left = {n for n, df in kept for f in df.inputFiles() if os.path.exists(f.removeprefix("file://"))}
+    assert "joined" in left and not left & {"parts", "probabilities"}
